@@ -27,10 +27,10 @@ def normalise(df: DataFrame, frame: str, columns: Mapping[str, str] | None = Non
     """
     columns = columns or {}
     selected = []
-    for field in FRAMES[frame].fields:
-        source = F.expr(columns.get(field.name, f"`{field.name}`"))
-        value = _flag(source) if field.name in FLAG_COLUMNS else source.cast(field.dataType)
-        selected.append(value.alias(field.name))
+    for name, kind in FRAMES[frame].items():
+        source = F.expr(columns.get(name, f"`{name}`"))
+        value = _flag(source) if name in FLAG_COLUMNS else source.cast(kind)
+        selected.append(value.alias(name))
     return df.select(*selected)
 
 

@@ -7,6 +7,7 @@ is left out. ``oracle.py`` states the same bindings in SQL.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from promolens.params import ReportParams
 from promolens.schemas import BURN_FIELDS
 from promolens.session import configure
-from promolens.sources import Frames, normalise
+from promolens.sources import normalise
 
 DAY = 86_400
 FIRST_DAY = date(2024, 1, 1)
@@ -240,18 +241,21 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def frames(spark: SparkSession, sf_dir: str) -> Frames:
-    bound_orders = orders(spark, sf_dir)
-    return Frames(
-        campaign_events=campaign_events(spark, sf_dir),
-        store_events=store_events(spark, sf_dir),
-        offer_events=offer_events(spark, sf_dir),
-        assignments=assignments(spark, sf_dir),
-        campaign_state=campaign_state(spark, sf_dir),
-        customer_tiers=customer_tiers(spark, sf_dir),
-        segment_override=segment_override(spark, sf_dir),
-        orders=bound_orders,
-        live_orders=bound_orders.drop("store_id", "ignore_flag", "post_status"),
-        offer_lines=offer_lines(spark, sf_dir),
-        carts=carts(spark, sf_dir),
-    )
+class BoundFrames:
+    """The frames over one table folder, each bound when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._source = (spark, sf_dir)
+
+    campaign_events = cached_property(lambda self: campaign_events(*self._source))
+    store_events = cached_property(lambda self: store_events(*self._source))
+    offer_events = cached_property(lambda self: offer_events(*self._source))
+    assignments = cached_property(lambda self: assignments(*self._source))
+    campaign_state = cached_property(lambda self: campaign_state(*self._source))
+    customer_tiers = cached_property(lambda self: customer_tiers(*self._source))
+    segment_override = cached_property(lambda self: segment_override(*self._source))
+    orders = cached_property(lambda self: orders(*self._source))
+    live_orders = cached_property(
+        lambda self: self.orders.drop("store_id", "ignore_flag", "post_status"))
+    offer_lines = cached_property(lambda self: offer_lines(*self._source))
+    carts = cached_property(lambda self: carts(*self._source))
