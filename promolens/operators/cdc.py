@@ -48,7 +48,8 @@ def asof_snapshot(log: DataFrame, spine: DataFrame, keys: Sequence[str], version
     survivor of its key. The spine is at most one row per calendar day, so it
     travels as one array.
     """
-    days = spine.agg(F.array_sort(F.collect_set(date_col))).scalar()
+    calendar = spine.agg(F.array_sort(F.collect_set(date_col)).alias("_days"))
+    days = calendar.scalar()
     seen = (log
             .withColumn("_days", days)
             .withColumn("_from", F.get(F.filter("_days", lambda day: day >= F.col(version_date)),
@@ -67,6 +68,7 @@ def asof_snapshot(log: DataFrame, spine: DataFrame, keys: Sequence[str], version
                .withColumn(date_col, F.explode(F.filter("_days", visible)))
                .drop("_days", "_from", "_until"))
     first_version = log.agg(F.min(version_date)).scalar()
-    before_all = spine.where(first_version.isNull() | (F.col(date_col) < first_version))
+    before_all = (calendar.select(F.explode("_days").alias(date_col))
+                  .where(first_version.isNull() | (F.col(date_col) < first_version)))
     return (matched.select(date_col, *log.columns)
             .unionByName(before_all, allowMissingColumns=True))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +14,15 @@ def broadcast_if_small(side: DataFrame, max_rows: int) -> DataFrame:
     shuffled to meet a list of a few megabytes. Use it for narrow rows only.
     """
     return F.broadcast(side) if side.count() <= max_rows else side
+
+
+def keep_listed(facts: DataFrame, listed: DataFrame, keys: Sequence[str],
+                max_rows: int) -> DataFrame:
+    """Drop facts whose keys are not listed, if the list is short enough to broadcast.
+
+    Only for facts that an inner join on ``keys`` filters later anyway: with a
+    longer list they come back whole, as shuffling them here would not pay.
+    """
+    if listed.count() > max_rows:
+        return facts
+    return facts.join(F.broadcast(listed), list(keys), "left_semi")

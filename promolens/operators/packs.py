@@ -28,14 +28,19 @@ def explode_context(state: DataFrame, from_date: date | None = None) -> DataFram
     if from_date is not None:
         kept = kept.where(F.col("run_date") >= F.lit(from_date))
     run = ["campaign_id", "run_date", "run_ts", "prev_burn_state", "event_id"]
-    return (kept
-            .withColumn("ctx", F.from_json("campaign_context", CONTEXT))
-            .select(*run, F.col("ctx.burn").alias("burn"), F.explode("ctx.stores").alias("store"))
-            .select(*run, "burn", "store.store_id",
-                    F.explode("store.pack_selections").alias("pick"))
-            .select(*run, "store_id", "pick.pack_id", "pick.segment", "pick.store_seg",
-                    "pick.slot", "pick.emit_segment",
-                    *[F.col(f"burn.{name}").alias(name) for name in BURN_FIELDS]))
+    # Each step keeps only what later steps read, or an exploded row would
+    # carry its whole document. The outer explode yields a NULL store for a
+    # document without stores, which the next explode drops; a plain one
+    # would have Spark parse each document again to test it for stores.
+    documents = kept.select(*run, F.from_json("campaign_context", CONTEXT).alias("ctx"))
+    stores = (documents.select(*run, F.col("ctx.burn").alias("burn"),
+                               F.col("ctx.stores").alias("stores"))
+              .select(*run, "burn", F.explode_outer("stores").alias("store")))
+    picks = (stores.select(*run, "burn", "store.store_id", "store.pack_selections")
+             .select(*run, "burn", "store_id", F.explode("pack_selections").alias("pick")))
+    return picks.select(*run, "store_id", "pick.pack_id", "pick.segment", "pick.store_seg",
+                        "pick.slot", "pick.emit_segment",
+                        *[F.col(f"burn.{name}").alias(name) for name in BURN_FIELDS])
 
 
 def pack_mapping(state: DataFrame, from_date: date | None = None,
@@ -57,6 +62,22 @@ def pack_mapping(state: DataFrame, from_date: date | None = None,
                          *BURN_FIELDS)
 
 
+def pack_identities(state: DataFrame, from_date: date | None = None,
+                    variants: DataFrame | None = None,
+                    keys: Sequence[str] = PACK_KEYS) -> DataFrame:
+    """Distinct ``keys`` of the pack rows, with the campaign-day's variant if asked for.
+
+    Ranking keeps one row per ``PACK_KEYS``, so whoever reads nothing but
+    those gets the same rows as from ``pack_mapping`` without ranking: runs
+    that repeat a choice fold together before the shuffle, and nothing sorts.
+    """
+    found = explode_context(state, from_date).select(*keys).distinct()
+    if variants is None:
+        return found
+    return found.join(variants.select("campaign_id", "run_date", "variant"),
+                      ["campaign_id", "run_date"], "left")
+
+
 def pack_choices(mapping: DataFrame, start: date, end: date, keys: Sequence[str],
                  vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Distinct (keys, tier, mode) of the packs in a date window."""

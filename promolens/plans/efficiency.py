@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 from promolens.functions import slot_of
 from promolens.operators import orders, packs, segments
 from promolens.operators.experiments import latest_variant
+from promolens.operators.joins import keep_listed
 from promolens.params import ReportParams
 from promolens.plans.discounts import month_segments
 from promolens.sources import Frames
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 
-def slot_metrics(frames: Frames, params: ReportParams,
-                 vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+_CHOICE = ["run_date", "store_id", "segment", "slot", "pack_id"]
+
+
+def pack_stores(mapping: DataFrame, params: ReportParams) -> DataFrame:
+    """Distinct (dt, store) of a stored mapping in the report window."""
+    window = mapping.where(F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
+    return window.select(F.col("run_date").alias("dt"), "store_id").distinct()
+
+
+def slot_metrics(frames: Frames, params: ReportParams, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                 stores: DataFrame | None = None) -> DataFrame:
     """Order metrics per (dt, store, slot, customer segment).
 
     Segments meet the orders before the lines do: afterwards everything down
-    to the final sums keeps the partitioning of the order join.
+    to the final sums keeps the partitioning of the order join. ``stores``,
+    if short enough to broadcast, drops other stores' lines before any shuffle.
     """
     labelled = segments.with_segment(
         orders.eligible_orders(frames.orders, params.start, params.end, params.dates)
@@ -29,6 +40,8 @@ def slot_metrics(frames: Frames, params: ReportParams,
         month_segments(frames, params, vocab), vocab)
     lines = orders.eligible_lines(frames.offer_lines, params.start, params.end, params.dates,
                                   vocab=vocab).withColumn("slot", slot_of(F.col("hr"), vocab))
+    if stores is not None:
+        lines = keep_listed(lines, stores, ["dt", "store_id"], params.max_broadcast_rows)
     grain = orders.order_discount_grain(lines, labelled, line_keys=["slot"],
                                         order_keys=["gmv", "customer_segment"])
     return orders.store_customer_metrics(grain, ["dt", "store_id", "slot", "customer_segment"])
@@ -58,16 +71,25 @@ def efficiency_for(mapping: DataFrame, metrics: DataFrame, params: ReportParams,
 def efficiency(frames: Frames, params: ReportParams, vocab: Vocabulary = DEFAULT_VOCABULARY,
                mapping: DataFrame | None = None) -> DataFrame:
     """Efficiency per (date, store, tier, mode, segment, slot); ``mapping`` may be a stored one."""
+    stores = None
     if mapping is None:
-        mapping = packs.pack_mapping(frames.campaign_state, params.state_from)
-    return efficiency_for(mapping, slot_metrics(frames, params, vocab), params, vocab=vocab)
+        mapping = packs.pack_identities(frames.campaign_state, params.state_from, keys=_CHOICE)
+    else:
+        stores = pack_stores(mapping, params)
+    return efficiency_for(mapping, slot_metrics(frames, params, vocab, stores), params,
+                          vocab=vocab)
 
 
 def efficiency_by_variant(frames: Frames, params: ReportParams,
                           vocab: Vocabulary = DEFAULT_VOCABULARY,
                           mapping: DataFrame | None = None) -> DataFrame:
     """As ``efficiency``, also by the campaign's experiment variant."""
+    stores = None
     if mapping is None:
-        mapping = packs.pack_mapping(frames.campaign_state, params.state_from,
-                                     latest_variant(frames.assignments))
-    return efficiency_for(mapping, slot_metrics(frames, params, vocab), params, ["variant"], vocab)
+        mapping = packs.pack_identities(frames.campaign_state, params.state_from,
+                                        latest_variant(frames.assignments),
+                                        ["campaign_id", *_CHOICE])
+    else:
+        stores = pack_stores(mapping, params)
+    return efficiency_for(mapping, slot_metrics(frames, params, vocab, stores), params,
+                          ["variant"], vocab)

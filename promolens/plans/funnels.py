@@ -35,7 +35,7 @@ def cart_funnel_by_pack(frames: Frames, params: ReportParams,
     mapping row of its pack; the cart counts are distinct.
     """
     if mapping is None:
-        mapping = packs.pack_mapping(frames.campaign_state, params.state_from)
+        mapping = packs.pack_identities(frames.campaign_state, params.state_from)
     window = mapping.where(F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
     funnel = carts.cart_funnel(labelled_carts(frames, params, vocab),
                                carts.pack_multiplicity(window), vocab)
@@ -55,8 +55,9 @@ def cart_funnel_by_variant(frames: Frames, params: ReportParams,
     """
     start, end = params.pack_window
     if mapping is None:
-        mapping = packs.pack_mapping(frames.campaign_state, params.state_from,
-                                     latest_variant(frames.assignments))
+        mapping = packs.pack_identities(
+            frames.campaign_state, params.state_from, latest_variant(frames.assignments),
+            ["campaign_id", "run_date", "store_id", "segment", "pack_id"])
     choices = packs.pack_choices(mapping, start, end,
                                  ["run_date", "store_id", "segment", "variant"], vocab)
     labels = segments.customer_segments(frames.customer_tiers, params.month, vocab=vocab)

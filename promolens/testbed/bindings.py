@@ -46,8 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a small one-file table over all cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "events")
+    return (_spread(table(spark, sf_dir, "events"))
             .withColumn("k", F.from_json("props", "k INT").k)
             .withColumn("updated_at", F.unix_timestamp("ts"))
             .withColumn("dt", F.to_date("ts"))
@@ -144,7 +150,9 @@ def campaign_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     selections = F.array(*[_selection(j) for j in range(6)])
     stores = F.transform("stores", lambda store: F.struct(
         store.alias("store_id"), selections.alias("pack_selections")))
-    document = F.to_json(F.struct(burn.alias("burn"), stores.alias("stores")))
+    # Never NULL, so testing the text for NULL does not need to build it.
+    document = F.coalesce(F.to_json(F.struct(burn.alias("burn"), stores.alias("stores"))),
+                          F.lit(""))
     text = (F.when(F.col("event_type") == "error", F.lit(None))
             .when(F.col("k") == 99, F.lit("{bad"))
             .otherwise(document))
