@@ -1,3 +1,5 @@
+"""Joins with lists derived from change logs, which may or may not be small."""
+
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -5,14 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promolens.session import use_shared_checkpoints
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder.
+
+    For a short list that a plan reads several times. The files are reliable
+    storage, so a lost executor costs nothing but a reread.
+    """
+    use_shared_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
 
 def broadcast_if_small(side: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast after counting ``side``; beyond ``max_rows`` leave it to a shuffle join.
+    """``side`` staged, counted, and hinted for broadcast up to ``max_rows`` rows.
 
     Catalyst's own size estimate of a list derived from a change log is the
     size of the log, so without the count the far larger fact side would be
-    shuffled to meet a list of a few megabytes. Use it for narrow rows only.
+    shuffled to meet a list of a few megabytes. A longer list gets no hint and
+    meets the facts in a shuffle join. Use it for narrow rows only.
     """
+    side = staged(side)
     return F.broadcast(side) if side.count() <= max_rows else side
 
 
@@ -23,6 +39,7 @@ def keep_listed(facts: DataFrame, listed: DataFrame, keys: Sequence[str],
     Only for facts that an inner join on ``keys`` filters later anyway: with a
     longer list they come back whole, as shuffling them here would not pay.
     """
+    listed = staged(listed)
     if listed.count() > max_rows:
         return facts
     return facts.join(F.broadcast(listed), list(keys), "left_semi")

@@ -24,13 +24,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder only in local mode."""
+def use_shared_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoints go to the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a scratch folder of its own.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="promolens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="promolens-")
+    context.setCheckpointDir(folder)

@@ -49,11 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _spread(df: DataFrame) -> DataFrame:
     """Rows of a small one-file table over all cores; a table of many files stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (_spread(table(spark, sf_dir, "events"))
+def _events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return ((_spread(events) if spread else events)
             .withColumn("k", F.from_json("props", "k INT").k)
             .withColumn("updated_at", F.unix_timestamp("ts"))
             .withColumn("dt", F.to_date("ts"))
@@ -156,7 +157,7 @@ def campaign_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (F.when(F.col("event_type") == "error", F.lit(None))
             .when(F.col("k") == 99, F.lit("{bad"))
             .otherwise(document))
-    events = _events(spark, sf_dir).withColumn("campaign_context", text)
+    events = _events(spark, sf_dir, spread=True).withColumn("campaign_context", text)
     return normalise(events, "campaign_state", {
         "run_date": "dt",
         "run_ts": "ts",
