@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import cart_value_bucket, slot_of
+from promolens.operators.joins import split_join
 from promolens.operators.orders import eligible_orders
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
@@ -62,8 +63,8 @@ def with_repeat_flag(grain: DataFrame, repeats: DataFrame,
     One repeat customer marks all rows of a cart, as the flag belongs to the cart.
     """
     marked = repeats.withColumn("_repeat", F.lit(True))
-    return (grain.where(F.col("cart_id").isNotNull())
-            .join(marked, ["dt", "cart_id"], "left")
+    return (split_join(grain.where(F.col("cart_id").isNotNull()), marked, ["dt", "cart_id"],
+                       "left")
             .withColumn("repeat_flag", F.when(F.col("_repeat"), vocab.repeat)
                         .otherwise(vocab.new))
             .drop("_repeat"))

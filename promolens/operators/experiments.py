@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolens.operators.cdc import latest_per_key
+from promolens.operators.joins import split_join
 
 
 def latest_variant(assignments: DataFrame, dates: Sequence[date] | None = None) -> DataFrame:
@@ -22,3 +23,9 @@ def latest_variant(assignments: DataFrame, dates: Sequence[date] | None = None)
 def distinct_variants(assignments: DataFrame) -> DataFrame:
     """Every variant a campaign had on a day; joining it can multiply rows."""
     return assignments.select("campaign_id", "run_date", "variant").distinct()
+
+
+def with_variant(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Rows with the variant of their (campaign_id, run_date), NULL where there is none."""
+    return split_join(rows, variants.select("campaign_id", "run_date", "variant"),
+                      ["campaign_id", "run_date"], "left")

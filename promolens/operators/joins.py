@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def broadcast_if_small(side: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(side) if side.count() <= max_rows else side
 
 
+def split_join(facts: DataFrame, side: DataFrame, keys: Sequence[str],
+               how: str = "inner") -> DataFrame:
+    """Equi join whose hot keys Spark can split at run time.
+
+    Adaptive execution splits a hot partition only where a join reads two
+    shuffles directly. ``side`` often comes out of a window, aggregation or
+    join on the same keys, and Spark then reuses that partitioning. Matching a
+    hash of the keys as well asks for another partitioning, so both sides are
+    shuffled for this join; the rows matched are the same.
+    """
+    names = {key: f"_side_{key}" for key in keys}
+    typed = side.withColumns({key: F.col(key).cast(facts.schema[key].dataType) for key in keys})
+    tests = [F.col(key) == F.col(name) for key, name in names.items()]
+    tests.append(F.xxhash64(*names) == F.xxhash64(*names.values()))
+    return (facts.join(typed.withColumnsRenamed(names), reduce(and_, tests), how)
+            .drop(*names.values()))
+
+
 def keep_listed(facts: DataFrame, listed: DataFrame, keys: Sequence[str],
                 max_rows: int) -> DataFrame:
     """Drop facts whose keys are not listed, if the list is short enough to broadcast.

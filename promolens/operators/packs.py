@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions import pack_mode, pack_part
 from promolens.operators.cdc import latest_per_key
+from promolens.operators.experiments import with_variant
 from promolens.schemas import BURN_FIELDS, CONTEXT
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
@@ -55,8 +56,7 @@ def pack_mapping(state: DataFrame, from_date: date | None = None,
     if variants is None:
         newest = newest.withColumn("variant", F.lit(None).cast("string"))
     else:
-        newest = newest.join(variants.select("campaign_id", "run_date", "variant"),
-                             ["campaign_id", "run_date"], "left")
+        newest = with_variant(newest, variants)
     return newest.select("campaign_id", "run_date", "run_ts", "prev_burn_state", "variant",
                          "store_id", "pack_id", "segment", "store_seg", "slot", "emit_segment",
                          *BURN_FIELDS)
@@ -74,8 +74,7 @@ def pack_identities(state: DataFrame, from_date: date | None = None,
     found = explode_context(state, from_date).select(*keys).distinct()
     if variants is None:
         return found
-    return found.join(variants.select("campaign_id", "run_date", "variant"),
-                      ["campaign_id", "run_date"], "left")
+    return with_variant(found, variants)
 
 
 def pack_choices(mapping: DataFrame, start: date, end: date, keys: Sequence[str],

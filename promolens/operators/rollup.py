@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promolens.operators.experiments import with_variant
+from promolens.operators.joins import split_join
 from promolens.operators.orders import measure_columns, sum_measures
 from promolens.operators.segments import with_segment
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
@@ -27,10 +29,9 @@ def store_exposures(stores: DataFrame, variants: DataFrame, count_store_once: bo
     keeps that multiplicity in one row per variant. ``count_store_once`` sets
     it to 1.
     """
-    run = variants.select(F.col("run_date").alias("as_of_dt"), "campaign_id", "variant")
     copies = F.max(F.lit(1)) if count_store_once else F.count(F.lit(1))
-    return (stores.join(run, ["as_of_dt", "campaign_id"], "left")
-            .groupBy(F.col("as_of_dt").alias("dt"), "store_id",
+    return (with_variant(stores.withColumnRenamed("as_of_dt", "run_date"), variants)
+            .groupBy(F.col("run_date").alias("dt"), "store_id",
                      F.coalesce("variant", F.lit(vocab.default_variant)).alias("variant"))
             .agg(copies.cast("int").alias("copies")))
 
@@ -39,6 +40,6 @@ def expose(measures: DataFrame, exposures: DataFrame) -> DataFrame:
     """Credit measures to the variants of their store and day, once per copy."""
     values = measure_columns(measures)
     others = [name for name in measures.columns if name not in values]
-    return (measures.join(exposures, ["dt", "store_id"])
+    return (split_join(measures, exposures, ["dt", "store_id"])
             .select(*others, "variant",
                     *[(F.col(name) * F.col("copies")).alias(name) for name in values]))

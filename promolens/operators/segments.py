@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import segment_label
+from promolens.operators.joins import split_join
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 
@@ -49,9 +50,10 @@ def with_segment(facts: DataFrame, segments: DataFrame,
                  vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Facts with ``customer_segment``; customers without a tier get the default label.
 
-    A left join, so Spark can split a hot customer on the fact side at run time.
+    A hot customer is split at run time, a missing customer id included.
     """
-    return (facts.join(segments.select("customer_id", "customer_segment"), "customer_id", "left")
+    labels = segments.select("customer_id", "customer_segment")
+    return (split_join(facts, labels, ["customer_id"], "left")
             .withColumn("customer_segment", segment_or_default(vocab)))
 
 
@@ -59,7 +61,7 @@ def with_month_segment(facts: DataFrame, segments: DataFrame,
                        vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """As ``with_segment``, matching the segment of the month of each fact's ``dt``."""
     monthly = segments.select("customer_id", F.col("dt").alias("_month"), "customer_segment")
-    return (facts.withColumn("_month", F.trunc("dt", "month"))
-            .join(monthly, ["customer_id", "_month"], "left")
+    return (split_join(facts.withColumn("_month", F.trunc("dt", "month")), monthly,
+                       ["customer_id", "_month"], "left")
             .drop("_month")
             .withColumn("customer_segment", segment_or_default(vocab)))

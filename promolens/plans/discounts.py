@@ -9,7 +9,7 @@ from promolens.functions import offer_discount_type
 from promolens.operators import campaigns, offers, orders, rollup, segments
 from promolens.operators.cdc import date_spine
 from promolens.operators.experiments import latest_variant
-from promolens.operators.joins import broadcast_if_small
+from promolens.operators.joins import broadcast_if_small, split_join
 from promolens.params import ReportParams
 from promolens.sources import Frames
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
@@ -26,8 +26,8 @@ def _live_store_lines(frames: Frames, params: ReportParams, vocab: Vocabulary) -
     lines = orders.eligible_lines(frames.offer_lines, params.start, params.end, params.dates,
                                   vocab=vocab)
     stores = campaigns.live_stores(frames.campaign_events, params.as_of, vocab)
-    return lines.join(broadcast_if_small(stores, params.max_broadcast_rows),
-                      "store_id", "left_semi")
+    return split_join(lines, broadcast_if_small(stores, params.max_broadcast_rows),
+                      ["store_id"], "left_semi")
 
 
 def with_offer_mark(lines: DataFrame, marked_offers: DataFrame, mark: str,
@@ -41,7 +41,7 @@ def with_offer_mark(lines: DataFrame, marked_offers: DataFrame, mark: str,
     if default_offer is not None:
         offer = F.coalesce(offer, F.lit(default_offer))
     side = marked_offers.select(F.col("offer_id").alias("_offer"), F.lit(True).alias("_marked"))
-    return (lines.join(side, offer == F.col("_offer"), "left")
+    return (split_join(lines.withColumn("_offer", offer), side, ["_offer"], "left")
             .withColumn(mark, F.coalesce("_marked", F.lit(False)))
             .drop("_offer", "_marked"))
 
@@ -101,7 +101,7 @@ def intraday_segment_variant(frames: Frames, params: ReportParams,
               .where(F.col("is_tagged") == 1).select("offer_id"))
     lines = orders.eligible_lines(frames.offer_lines, params.start, params.end, params.dates,
                                   params.hour_cutoff, vocab)
-    lines = lines.join(exposures.select("dt", "store_id"), ["dt", "store_id"], "left_semi")
+    lines = split_join(lines, exposures.select("dt", "store_id"), ["dt", "store_id"], "left_semi")
     lines = with_offer_mark(lines, broadcast_if_small(tagged, params.max_broadcast_rows),
                             "_tagged", default_offer=0)
     grain = orders.order_discount_grain(

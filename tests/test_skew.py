@@ -1,0 +1,177 @@
+"""A third of all rows on one key: results stay whole and hot partitions are split."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from promolens.operators import carts, orders, segments
+from promolens.operators.cdc import latest_per_key
+from promolens.operators.experiments import latest_variant, with_variant
+from promolens.operators.joins import split_join, staged
+from promolens.plans.discounts import with_offer_mark
+from tests.builders import rows
+from tests.test_plans import plan, settings
+
+N = 60_000
+
+
+@pytest.fixture(autouse=True)
+def small_thresholds(spark):
+    with settings(spark,
+                  spark__sql__autoBroadcastJoinThreshold="-1",
+                  spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+                  spark__sql__adaptive__advisoryPartitionSizeInBytes="16KB",
+                  spark__sql__adaptive__coalescePartitions__enabled="false",
+                  spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="32KB",
+                  spark__sql__adaptive__skewJoin__skewedPartitionFactor="2"):
+        yield
+
+
+def hot(name: str, value: str = "0", spread: int = 5_000):
+    """A column holding ``value`` in every third row."""
+    return F.expr(f"if(id % 3 = 0, {value}, id % {spread} + 1)").alias(name)
+
+
+def day(days: int = 5):
+    return F.expr(f"date_add(date'2024-01-01', cast(id % {days} as int))").alias("dt")
+
+
+def split(df) -> bool:
+    """Whether the executed plan reads a hot partition in pieces."""
+    df.collect()
+    return "skew=true" in plan(df)
+
+
+@pytest.mark.parametrize("value", ["7", "null"])
+def test_hot_customer(spark, value):
+    measures = spark.range(0, N, 1, 8).select(
+        day(), hot("customer_id", value), F.lit(1).alias("completed_orders"),
+        (F.col("id") % 2).cast("int").alias("discounted_orders"))
+    tiers = spark.range(0, 5_000, 1, 4).select(
+        F.col("id").alias("customer_id"), F.lit("2024-01-01").cast("date").alias("dt"),
+        F.concat(F.lit("P"), F.col("id") % 4).alias("tier"))
+    override = spark.range(0, 100, 1, 4).select(
+        F.col("id").alias("customer_id"), F.lit("S7").alias("segment"),
+        F.lit("2024-01-01").cast("date").alias("dt"))
+    labels = segments.customer_segments(tiers, None, segments.override_customers(override))
+    report = orders.sum_measures(segments.with_segment(measures, labels),
+                                 ["dt", "customer_segment"])
+    assert split(report)
+    assert report.agg(F.sum("completed_orders")).first()[0] == N
+
+
+def test_hot_order_lines(spark):
+    """The hot order is one row per store before it meets the orders."""
+    lines = spark.range(0, N, 1, 8).select(
+        F.lit("2024-01-01").cast("date").alias("dt"), hot("order_id"),
+        F.expr("cast(id % 2 as string)").alias("store_id"),
+        F.lit(1).cast("decimal(18,4)").alias("store_discount"),
+        F.lit(None).cast("decimal(18,4)").alias("platform_discount"))
+    facts = spark.range(0, 6_000, 1, 4).select(
+        F.lit("2024-01-01").cast("date").alias("dt"), F.col("id").alias("order_id"),
+        F.lit(10).cast("decimal(14,2)").alias("gmv"), F.col("id").alias("customer_id"))
+    grain = orders.order_discount_grain(lines, facts)
+    assert grain.agg(F.sum("store_discount")).first()[0] == N
+    assert grain.where("order_id = 0").agg(F.sum("store_discount")).first()[0] == N / 3
+
+
+def test_hot_repeated_order(spark):
+    """An order id delivered very many times is split although sums follow the join."""
+    lines = spark.range(0, 6_000, 1, 4).select(
+        F.lit("2024-01-01").cast("date").alias("dt"), F.col("id").alias("order_id"),
+        F.lit("1").alias("store_id"), F.lit(1).cast("decimal(18,4)").alias("store_discount"),
+        F.lit(0).cast("decimal(18,4)").alias("platform_discount"))
+    facts = spark.range(0, N, 1, 8).select(
+        F.lit("2024-01-01").cast("date").alias("dt"), hot("order_id"),
+        F.col("id").cast("decimal(14,2)").alias("gmv"), F.col("id").alias("customer_id"))
+    grain = orders.order_discount_grain(lines, facts)
+    assert split(grain)
+    assert grain.where("order_id = 0").count() == N // 3
+
+
+@pytest.mark.parametrize("value", ["0", "null"])
+def test_hot_offer(spark, value):
+    lines = spark.range(0, N, 1, 8).select("id", hot("offer_id", value, 200))
+    log = spark.range(0, 400, 1, 4).select(F.expr("id % 100").alias("offer_id"),
+                                           F.col("id").alias("event_id"))
+    marked = with_offer_mark(lines, latest_per_key(log, ["offer_id"], ["event_id"]), "hit",
+                             default_offer=0)
+    assert split(marked)
+    assert marked.where("hit").count() == lines.where("coalesce(offer_id, 0) < 100").count()
+    assert marked.count() == N
+
+
+@pytest.mark.parametrize("customer", ["1", "null"])
+def test_hot_cart_and_hot_customer_at_one_store(spark, customer):
+    """The hot customer is split; carts without a customer never reach the shuffle."""
+    visits = spark.range(0, N, 1, 8).select(
+        F.expr("if(id % 4 = 0, date'2024-01-03', date_add(date'2024-01-01', int(id % 5)))")
+        .alias("dt"),
+        F.expr("if(id % 4 = 0, 0, xxhash64(id))").alias("cart_id"),
+        hot("customer_id", customer, 500), F.expr("cast(id % 1 as string)").alias("store_id"))
+    prior = spark.range(0, 400, 1, 4).select(
+        F.col("id").alias("customer_id"), F.expr("cast(id % 1 as string)").alias("store_id"),
+        F.expr("date_add(date'2024-01-01', cast(id % 3 as int))").alias("order_dt"))
+    repeats = carts.repeat_carts(visits, prior, 3)
+    assert split(repeats) == (customer == "1")
+    labelled = carts.with_repeat_flag(visits, repeats)
+    assert split(labelled)
+    assert labelled.count() == N
+    visits.createOrReplaceTempView("skewed_visits_of_test")
+    direct = spark.sql("""
+        SELECT DISTINCT dt, cart_id FROM skewed_visits_of_test
+        WHERE customer_id < 400
+          AND datediff(dt, date_add(date'2024-01-01', cast(customer_id % 3 as int)))
+              BETWEEN 1 AND 3""")
+    assert rows(repeats) == rows(direct)
+
+
+def test_hot_store_in_the_funnel(spark):
+    labelled = spark.range(0, N, 1, 8).select(
+        day(2), F.expr("if(id % 3 = 0, '0', cast(id % 50 as string))").alias("store_id"),
+        F.lit("S1").alias("customer_segment"), F.lit("NTR").alias("repeat_flag"),
+        F.lit("lunch").alias("slot"), F.lit("a").alias("cart_bucket"),
+        (F.col("id") % 30_000).alias("cart_id"), F.lit("PLACE_ORDER").alias("cart_state"),
+        F.lit(1).alias("coupon_flag"), F.lit(0).alias("item_flag"),
+        F.lit(1.0).alias("coupon_discount"), F.lit(2.0).alias("cart_value"))
+    packs = spark.range(0, 50, 1, 2).select(
+        F.lit("2024-01-01").cast("date").alias("dt"), F.col("id").cast("string").alias("store_id"),
+        F.lit("S1").alias("customer_segment"), F.lit("NTR").alias("repeat_flag"),
+        F.lit("lunch").alias("slot"), F.lit("T1_O").alias("pack_id"), F.lit(2).alias("copies"))
+    funnel = carts.cart_funnel(labelled, packs)
+    assert split(funnel)
+    day_one = labelled.where("dt = '2024-01-01'")
+    want = day_one.groupBy("store_id").agg(F.countDistinct("cart_id"),
+                                           F.count(F.lit(1)) * F.lit(2.0))
+    assert rows(funnel, "store_id", "cart_count", "coupon_discount_value") == rows(want)
+
+
+def test_hot_campaign_day(spark):
+    picks = spark.range(0, N, 1, 8).select(
+        hot("campaign_id", "'0'").cast("string").alias("campaign_id"),
+        F.lit("2024-01-01").cast("date").alias("run_date"), F.col("id").alias("store_id"))
+    log = spark.range(0, 400, 1, 4).select(
+        F.expr("cast(id % 200 as string)").alias("campaign_id"), F.col("id").alias("event_id"),
+        F.lit("2024-01-01").cast("date").alias("run_date"), F.col("id").alias("run_ts"),
+        F.lit("x").alias("variant"))
+    labelled = with_variant(picks, latest_variant(log))
+    assert split(labelled)
+    assert labelled.count() == N
+    assert labelled.where("variant = 'x'").count() == \
+        picks.where("int(campaign_id) < 200").count()
+
+
+def test_hot_store_meets_a_long_store_list(spark):
+    lines = spark.range(0, N, 1, 8).select("id", hot("store_id"))
+    listed = spark.range(0, 6_000, 1, 4).select(F.expr("id % 300").alias("store_id")).distinct()
+    kept = split_join(lines, staged(listed), ["store_id"], "left_semi")
+    assert split(kept)
+    assert kept.count() == lines.where("store_id < 300").count()
+
+
+def test_hot_key_in_a_change_log(spark):
+    log = spark.range(0, N, 1, 8).select(F.col("id").alias("event_id"), hot("key"))
+    newest = latest_per_key(log, ["key"], ["event_id"])
+    assert rows(newest.where("key = 0"), "event_id") == [(N - 3,)]
+    assert newest.count() == log.select("key").distinct().count()
