@@ -93,7 +93,7 @@ def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(_events(spark, sf_dir), "store_events", {
-        "store_id": "event_id % 100",
+        "store_id": "event_id % 150",
         "status": "event_type in ('view', 'signup', 'purchase')",
         "updated_by": "user_id",
     })

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def build_session() -> SparkSession:
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="promolens-warehouse-"))
              .config("spark.sql.shuffle.partitions", "8")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

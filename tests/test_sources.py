@@ -37,6 +37,18 @@ def test_reading_files_and_views(spark, tmp_path, fmt):
     assert rows(renamed) == rows(tiers)
 
 
+def test_mapping_table_is_replaced(spark):
+    state = frame(spark, "campaign_state", [
+        {"campaign_id": "a", "run_date": "2024-01-01", "run_ts": "2024-01-01T01:00:00",
+         "event_id": 1, "campaign_context":
+         '{"stores":[{"store_id":"1","pack_selections":[{"pack_id":"T1_O"}]}]}'}])
+    mapping = pack_mapping(state)
+    for _ in range(2):
+        write_pack_mapping(mapping, table="pack_mapping_of_test")
+    stored = spark.table("pack_mapping_of_test")
+    assert rows(stored.select(*mapping.columns)) == rows(mapping)
+
+
 def test_mapping_sink_lays_out_by_run_date(spark, tmp_path):
     state = frame(spark, "campaign_state", [
         {"campaign_id": "a", "run_date": f"2024-01-0{d}", "run_ts": f"2024-01-0{d}T01:00:00",
