@@ -42,8 +42,12 @@ FUNNEL_PARAMS = ReportParams(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    stored = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return stored
+    return (spark.readStream.schema(stored.schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -52,8 +56,9 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def _events(spark: SparkSession, sf_dir: str, spread: bool = False,
+            stream: bool = False) -> DataFrame:
+    events = table(spark, sf_dir, "events", stream)
     return ((_spread(events) if spread else events)
             .withColumn("k", F.from_json("props", "k INT").k)
             .withColumn("updated_at", F.unix_timestamp("ts"))
@@ -70,8 +75,8 @@ def _tolerance(target: float, lower: float, upper: float) -> str:
             f"value * {upper}D as upper_tolerance)")
 
 
-def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise(_events(spark, sf_dir), "campaign_events", {
+def campaign_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return normalise(_events(spark, sf_dir, stream=stream), "campaign_events", {
         "store_ids": "case when k = 50 then null "
                      "when k % 25 = 13 then concat(array('test'), stores) else stores end",
         "store_budget": "value * 8",
@@ -205,9 +210,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def offer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offer_lines(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     amount = "cast(l_extendedprice as decimal(12,2)) * cast(l_discount as decimal(4,2))"
-    return normalise(table(spark, sf_dir, "lineitem"), "offer_lines", {
+    return normalise(table(spark, sf_dir, "lineitem", stream), "offer_lines", {
         "dt": _day("l_orderkey"),
         "hr": "cast(l_partkey % 24 as string)",
         "order_id": "l_orderkey",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,15 @@ from promolens.operators.experiments import distinct_variants, latest_variant
 from promolens.plans.discounts import month_segments, with_offer_mark
 from promolens.plans.efficiency import slot_metrics
 from promolens.plans.funnels import labelled_carts
-from promolens.testbed.bindings import FUNNEL_PARAMS, PARAMS, BoundFrames
+from promolens.session import use_shared_checkpoints
+from promolens.streaming import drain, hourly_discounts, latest_state, newest_updates
+from promolens.testbed.bindings import (
+    FUNNEL_PARAMS,
+    PARAMS,
+    BoundFrames,
+    campaign_events,
+    offer_lines,
+)
 from promolens.vocabulary import DEFAULT_VOCABULARY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,6 +351,35 @@ def cart_funnel_variant(f: BoundFrames) -> DataFrame:
     return carts.cart_counts(segments.with_segment(f.carts, labels))
 
 
+# Streams
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    use_shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def stream_latest_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _scratch(spark)
+    log = campaign_events(spark, sf_dir, stream=True).select(
+        "campaign_id", "event_id", "dt", "hr", "updated_at", "campaign_status")
+    drain(latest_state(log, ["campaign_id"], ["dt", "hr", "updated_at", "event_id"]), folder)
+    return newest_updates(spark, folder, ["campaign_id"])
+
+
+def stream_hourly_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delay spans all dates of the table, so no line comes too late."""
+    folder = _scratch(spark)
+    lines = orders.eligible_lines(offer_lines(spark, sf_dir, stream=True), PARAMS.start,
+                                  PARAMS.end)
+    drain(hourly_discounts(lines, "60 days"), folder)
+    return orders.money_as_double(newest_updates(spark, folder, ["dt", "hr", "store_id"]))
+
+
+QUERIES["stream_latest_campaigns"] = stream_latest_campaigns
+QUERIES["stream_hourly_discounts"] = stream_hourly_discounts
+
+
 # Reports
 
 @_register
