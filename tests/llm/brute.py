@@ -67,3 +67,51 @@ def components(prints, reach=4):
     for key, p in prints.items():
         least[find(p)] = min(key, least.get(find(p), key))
     return {key: least[find(p)] for key, p in prints.items()}
+
+
+def _luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def secret_base(text):
+    """(start, rank, end, kind) of the base rules, by start then kind."""
+    text = text or ""
+    out = []
+    keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k)
+                       for k in ("password", "passwd", "secret", "token", "api_?key"))
+    for m in re.finditer(rf"({keyword})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def pii_base(text):
+    """(start, rank, end, kind) of the base rules, by kind then start."""
+    text = text or ""
+    out = [(m.start(), 0, m.end(), "email") for m in
+           re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end(), "ip") for m in
+            re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+            if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and _luhn(digits):
+            out.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end(), "phone"))
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def listed(spans):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
