@@ -46,30 +46,65 @@ class Packing:
     tokenizer: str = "word_bpe_49k.json"
     rounds: int = 300
     salts: int = 64
-    remembered: int = 400_000
+    remembered: int = 1_000_000
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian bytes; at most ``limit`` chunks are remembered."""
+    """Ids of texts as little-endian bytes; at most ``limit`` chunks are remembered.
+
+    New chunks go through the library many at once, parted by a chunk whose
+    single token none of them holds.
+    """
 
     def __init__(self, path: str, limit: int) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.limit, self.known = limit, {}
+        self.parting = self.ids("\x01")
+
+    def ids(self, text: str) -> bytes:
+        found = self.library.encode(text, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
+    def learn(self, chunks: list[bytes]) -> None:
+        if len(self.known) + len(chunks) > self.limit:
+            self.known.clear()
+        plain = [c for c in chunks if b"\x01" not in c and len(c) < 1000]
+        for c in set(chunks).difference(plain):
+            self.known[c] = self.ids(c.decode("utf-8", "replace"))
+        part = np.frombuffer(self.parting, "<u4")
+        assert len(part) == 1
+        for at in range(0, len(plain), 1000):
+            some = plain[at:at + 1000]
+            joined = " \x01 ".join([c.decode("utf-8", "replace") for c in some])
+            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(ids == part[0]) * 4).tolist()
+            data = ids.tobytes()
+            starts = [0, *(e + 4 for e in ends)]
+            self.known.update(zip(some, [data[a:b] for a, b in zip(starts, [*ends, len(data)])],
+                                  strict=True))
 
     def encode(self, text: str) -> bytes:
         chunks = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        new = set(chunks).difference(self.known)
         if new:
-            if len(known) + len(new) > self.limit:
-                self.known = known = {}
-                new = list(dict.fromkeys(chunks))
-            ids = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in new],
-                                                 add_special_tokens=False)
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, ids))
-        return b"".join(map(known.__getitem__, chunks))
+            if len(self.known) + len(new) > self.limit:
+                new = set(chunks)
+            self.learn(list(new))
+        return b"".join(map(self.known.__getitem__, chunks))
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """As ``encode``, learning the new chunks of several texts in one go."""
+        for at in range(0, len(texts), 64):
+            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at:at + 64]]
+            new = set().union(*split).difference(self.known)
+            if len(self.known) + len(new) > self.limit:
+                new = set().union(*split)
+            if new:
+                self.learn(list(new))
+            for chunks in split:
+                yield b"".join(map(self.known.__getitem__, chunks))
 
 
 def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
@@ -83,8 +118,8 @@ def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
         end, width = np.array([config.end_token], dtype="<u4").tobytes(), 4 * config.capacity
         for batch in batches:
             out = []
-            for whole in batch:
-                data = encoder.encode(whole) + end
+            for ids in encoder.encode_many(list(batch)):
+                data = ids + end
                 parts = [data[at:at + width] for at in range(0, len(data), width)]
                 out.append([{"piece": i, "start": i * config.capacity, "length": len(p) // 4,
                              "crc": zlib.crc32(p)}

@@ -7,7 +7,8 @@ sums the weights of all ways to reach each place; backward sampling then draws
 the last piece, the one before it, and so on, in proportion, which draws whole
 segmentations with their exact probabilities. Pieces never hold a space after
 another character, so the lattice splits into units (a run of spaces and the
-word behind it) that are filtered once and remembered per worker.
+word behind it). Equal units of a slice of texts are filtered once, and all
+units of one length go through the same array operations.
 
 The draws come from a counter-based generator keyed by the row's key and the
 seed: the same key and text give the same pieces on any executor, in any run.
@@ -21,13 +22,11 @@ cannot occur in Spark strings.
 
 from __future__ import annotations
 
-import math
-import random
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,17 +39,28 @@ from pyspark.sql import functions as F
 from promolens.llm.columns import whole_text
 
 MARK = "▁"
+CODE_BITS = 21
+UNIT = re.compile(r" *[^ ]+| +")
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Sampling:
-    """``temperature``: near zero always the likeliest pieces, large ones all alike."""
+    """``temperature``: near zero always the likeliest pieces, large ones all alike;
+    ``cells``: lattice edges held in memory at once."""
 
     tokenizer: str = "piece_bpe_32k.model"
     temperature: float = 0.5
     seed: int = 7
-    remembered: int = 60_000
-    short: int = 24
+    slice_chars: int = 6_000_000
+    cells: int = 4_000_000
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64: the number at place x of a fixed random sequence."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class PieceLattice:
@@ -58,10 +68,11 @@ class PieceLattice:
 
     def __init__(self, path: str, config: Sampling = Sampling()) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.config = config
-        self.pieces: dict[str, tuple[int, float]] = {}
-        self.surface: list[bytes] = []
-        self.byte = [0] * 256
+        self.config, self.surface = config, []
+        self.byte = np.zeros(256, dtype=np.int32)
+        child: dict[int, int] = {}
+        piece_id, weight = [-1], [0.0]
+        self.longest = 1
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -70,80 +81,149 @@ class PieceLattice:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.surface.append(b"")
             else:
-                text = piece.replace(MARK, " ")
-                self.pieces[text] = (i, (1 - model.get_score(i)) ** (-1 / config.temperature))
+                text, node = piece.replace(MARK, " "), 0
+                for c in text:
+                    key = node << CODE_BITS | ord(c)
+                    if key not in child:
+                        child[key] = len(piece_id)
+                        piece_id.append(-1)
+                        weight.append(0.0)
+                    node = child[key]
+                piece_id[node] = i
+                weight[node] = (1 - model.get_score(i)) ** (-1 / config.temperature)
+                self.longest = max(self.longest, len(text))
                 self.surface.append(text.encode())
-        self.longest = max(map(len, self.pieces))
+        keys = np.array(sorted(child), dtype=np.int64)
+        self.keys, self.child = keys, np.array([child[k] for k in keys.tolist()], dtype=np.int64)
+        self.piece_id, self.weight = np.array(piece_id, dtype=np.int64), np.array(weight)
         self.byte_weight = len(self.surface) ** (-1 / config.temperature)
-        self.young: dict[str, tuple[list, list]] = {}
-        self.old: dict[str, tuple[list, list]] = {}
-
-    def filtered(self, unit: str) -> tuple[list, list]:
-        """For each place the pieces that end there (start, ids) and the running sums of
-        their weights, each place scaled to a last sum of one."""
-        edges, sums, logs = [()], [()], [0.0]
-        pieces, longest = self.pieces, self.longest
-        for end in range(1, len(unit) + 1):
-            ways, weights = [], []
-            for start in range(max(0, end - longest), end):
-                found = pieces.get(unit[start:end])
-                if found is not None:
-                    ways.append((start, (found[0],)))
-                    weights.append((logs[start], found[1]))
-            if not ways or ways[-1][0] != end - 1:
-                data = unit[end - 1].encode("utf-8", "surrogatepass")
-                ways.append((end - 1, tuple(self.byte[b] for b in data)))
-                weights.append((logs[end - 1], self.byte_weight ** len(data)))
-            top = max(w[0] for w in weights)
-            total, running = 0.0, []
-            for log, weight in weights:
-                total += math.exp(log - top) * weight
-                running.append(total)
-            edges.append(ways)
-            sums.append([r / total for r in running])
-            logs.append(top + math.log(total))
-        return edges, sums
-
-    def remembered(self, unit: str) -> tuple[list, list]:
-        found = self.young.get(unit)
-        if found is None:
-            found = self.old.get(unit) or self.filtered(unit)
-            if len(unit) <= self.config.short:
-                if len(self.young) >= self.config.remembered:
-                    self.old, self.young = self.young, {}
-                self.young[unit] = found
-        return found
-
-    def sample(self, text: str, key: str) -> list[int]:
-        """Ids of one segmentation, determined by the text, the key and the seed."""
-        if not text:
-            return []
-        units = re.findall(r" *[^ ]+| +", " " + text)
-        state = xxhash.xxh64_intdigest(key.encode(), self.config.seed)
-        draws = np.random.Generator(np.random.Philox(key=state)).random(len(units)).tolist()
-        out: list[int] = []
-        known, remembered, short = self.young, self.remembered, self.config.short
-        for unit, u in zip(units, draws):
-            edges, sums = known.get(unit) or remembered(unit)
-            known = self.young
-            place, picked = len(unit), []
-            more = random.Random(u).random if place > short else None
-            while place:
-                running = sums[place]
-                if len(running) == 1:
-                    place, ids = edges[place][0]
-                else:
-                    k = bisect_right(running, u, 0, len(running) - 1)
-                    low = running[k - 1] if k else 0.0
-                    u = more() if more else (u - low) / (running[k] - low)
-                    place, ids = edges[place][k]
-                picked.append(ids)
-            for ids in reversed(picked):
-                out.extend(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and ids by (unit, end, length - 1); a character without a piece has
+        the negative of its code less one as its id and the weight of its bytes."""
+        units, n = codes.shape
+        wide = min(n, self.longest)
+        weight, ids = np.zeros((units, n + 1, wide)), np.zeros((units, n + 1, wide), dtype=np.int32)
+        unit, start = (x.ravel() for x in np.indices((units, n)))
+        node = np.zeros(len(unit), dtype=np.int64)
+        for length in range(1, wide + 1):
+            code = codes[unit, start + length - 1]
+            key = node << CODE_BITS | code
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive = self.keys[at] == key
+            node = np.where(alive, self.child[at], 0)
+            piece = np.where(alive, self.piece_id[node], -1)
+            whole = piece >= 0
+            weight[unit[whole], start[whole] + length, length - 1] = self.weight[node[whole]]
+            ids[unit[whole], start[whole] + length, length - 1] = piece[whole]
+            if length == 1:
+                lone = ~whole
+                size = 1 + (code[lone] >= 0x80) + (code[lone] >= 0x800) + (code[lone] >= 0x10000)
+                weight[unit[lone], start[lone] + 1, 0] = self.byte_weight ** size
+                ids[unit[lone], start[lone] + 1, 0] = -code[lone] - 1
+            on = alive & (start + length < n)
+            unit, start, node = unit[on], start[on], node[on]
+        return weight, ids
+
+    def filtered(self, weight: np.ndarray) -> np.ndarray:
+        """Running sums of the chances of each last length, by (unit, end): the forward
+        values of the places before, times the weights, scaled at every place."""
+        units, places, wide = weight.shape
+        before, sums = np.zeros((units, wide)), np.zeros_like(weight)
+        before[:, 0] = 1
+        for end in range(1, places):
+            ways = before * weight[:, end]
+            total = ways.sum(axis=1, keepdims=True)
+            sums[:, end] = np.cumsum(ways, axis=1) / total
+            before = np.concatenate([total, before[:, :-1]], axis=1) / total
+        return sums
+
+    def drawn(self, sums: np.ndarray, ids: np.ndarray, unit: np.ndarray, state: np.ndarray):
+        """Backward draws for occurrences of units: (occurrence, step, id), last piece first."""
+        place = np.full(len(unit), sums.shape[1] - 1)
+        occurrence, step, out = np.arange(len(unit)), 0, []
+        while len(occurrence):
+            u = (mixed(state + GOLDEN * np.array([step + 1], dtype=np.uint64)) >> np.uint64(11)) * 2.0 ** -53
+            chances = sums[unit, place]
+            pick = np.minimum((chances <= u[:, None]).sum(axis=1),
+                              (chances < chances[:, -1:]).sum(axis=1))
+            out.append((occurrence, np.full(len(unit), step), ids[unit, place, pick]))
+            place = place - pick - 1
+            on = place > 0
+            occurrence, unit, place, state = occurrence[on], unit[on], place[on], state[on]
+            step += 1
+        return [np.concatenate(x) for x in zip(*out)]
+
+    def sample(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
+        """Ids of one segmentation per text, determined by text, key and seed."""
+        split = [UNIT.findall(" " + t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        every = list(chain.from_iterable(split))
+        number = {u: i for i, u in enumerate(dict.fromkeys(every))}
+        which = np.fromiter(map(number.__getitem__, every), dtype=np.int64, count=len(every))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        seeds = np.array([xxhash.xxh64_intdigest(k.encode(), self.config.seed) for k in keys],
+                         dtype=np.uint64)
+        nth = np.arange(len(which)) - np.repeat(first[:-1], sizes)
+        state = mixed(np.repeat(seeds, sizes) + GOLDEN * nth.astype(np.uint64))
+        lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
+        names = np.array(list(number), dtype=object)
+        found = [[], [], []]
+        by_unit = np.argsort(which, kind="stable")
+        starts = np.searchsorted(which[by_unit], np.arange(len(number) + 1))
+        for n in np.unique(lengths):
+            of_length = np.flatnonzero(lengths == n)
+            some = max(1, self.config.cells // int(n * min(n, self.longest)))
+            for at in range(0, len(of_length), some):
+                mine = of_length[at:at + some]
+                codes = np.frombuffer("".join(names[mine]).encode("utf-32-le", "surrogatepass"),
+                                      dtype="<u4").astype(np.int64).reshape(len(mine), n)
+                weight, ids = self.edges(codes)
+                spans = [by_unit[a:b] for a, b in zip(starts[mine], starts[mine + 1])]
+                occurrence = np.concatenate(spans)
+                unit = np.repeat(np.arange(len(mine)), [len(x) for x in spans])
+                o, step, piece = self.drawn(self.filtered(weight), ids, unit, state[occurrence])
+                for store, x in zip(found, (occurrence[o], step, piece)):
+                    store.append(x)
+        if not len(which):
+            return [np.zeros(0, np.int32) for _ in texts]
+        return self.joined(first, *(np.concatenate(x) for x in found))
+
+    def joined(self, first: np.ndarray, occurrence: np.ndarray, step: np.ndarray,
+               piece: np.ndarray) -> list[np.ndarray]:
+        """The drawn pieces in reading order, one array per text, bytes spelled out."""
+        count = np.bincount(occurrence, minlength=first[-1])
+        offset = np.concatenate([[0], np.cumsum(count)])
+        flat = np.empty(len(piece), dtype=np.int32)
+        flat[offset[occurrence + 1] - 1 - step] = piece
+        spelled = np.flatnonzero(flat < 0)
+        code = -flat[spelled].astype(np.int64) - 1
+        size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        times = np.ones(len(flat), dtype=np.int64)
+        times[spelled] = size
+        out, ends = np.repeat(flat, times), np.concatenate([[0], np.cumsum(times)])
+        for k in range(4):
+            has = size > k
+            c, n = code[has], size[has]
+            low = 0x80 | (c >> 6 * (n - 1 - k)) & 0x3F
+            lead = np.where(n == 1, c, (0xF00 >> n & 0xFF) | c >> 6 * (n - 1))
+            out[ends[spelled[has]] + k] = self.byte[lead if k == 0 else low]
+        cuts = ends[offset[first]]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def slices(self, texts: list[str], keys: list[str]) -> Iterator[np.ndarray]:
+        """``sample`` over slices of bounded size."""
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= self.config.slice_chars):
+                chars += len(texts[end])
+                end += 1
+            yield from self.sample(texts[at:end], keys[at:end])
+            at = end
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode(docs: DataFrame, config: Sampling = Sampling(), key: str = "doc_id", text: str = "text",
@@ -154,7 +234,7 @@ def encode(docs: DataFrame, config: Sampling = Sampling(), key: str = "doc_id",
     def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lattice = PieceLattice(public_tokenizers.path(config.tokenizer), config)
         for texts, keys in batches:
-            yield pd.Series([np.array(lattice.sample(t, k), np.int32) for t, k in zip(texts, keys)])
+            yield pd.Series(list(lattice.slices(list(texts), list(keys))))
 
     return docs.withColumn(into, ids(whole_text(text), _key(key)))
 
@@ -166,7 +246,7 @@ def decode(ids: Column, config: Sampling = Sampling()) -> Column:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lattice = PieceLattice(public_tokenizers.path(config.tokenizer), config)
         for batch in batches:
-            yield pd.Series([lattice.decode(list(x)) if x is not None else "" for x in batch])
+            yield pd.Series([lattice.decode(x) if x is not None else "" for x in batch])
 
     return text(ids)
 
@@ -181,9 +261,8 @@ def round_trip(docs: DataFrame, config: Sampling = Sampling(), key: str = "doc_i
         lattice = PieceLattice(public_tokenizers.path(config.tokenizer), config)
         for texts, keys in batches:
             rows = []
-            for whole, row_key in zip(texts, keys):
-                ids = lattice.sample(whole, row_key)
-                rows.append((len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()),
+            for whole, ids in zip(texts, lattice.slices(list(texts), list(keys))):
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()),
                              lattice.decode(ids) == whole))
             yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "lossless"])
 
