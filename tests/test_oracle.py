@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from promolens.testbed.oracle import ORACLE
+from promolens.testbed.queries import QUERIES
 from tests.compare import first_difference, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,10 +19,10 @@ def connection():
 
 
 def test_every_query_has_a_statement():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches(spark, connection, name):
     assert first_difference(spark, connection, SF_DIR, name) is None
 
