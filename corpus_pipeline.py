@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promolens.llm import exact_dedup, packing, quality_rules, secrets, simhash
-from promolens.llm.scratch import table
+from promolens.llm.scratch import release, table
 
 OWN = "_stage"
 
 
+def begun(spark: SparkSession, docs: DataFrame) -> None:
+    """What earlier stages staged goes when the next begins: their results are written by then."""
+    release(spark, unless=docs)
+
+
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects; cutoffs are certified on the labels."""
+    begun(spark, docs)
     stats = table(quality_rules.rule_statistics(docs, into=OWN), "rules")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     cutoffs = quality_rules.certified_cutoffs(stats, labels, into=OWN)
@@ -26,11 +32,13 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id."""
+    begun(spark, docs)
     return exact_dedup.exact_duplicates(docs, into=OWN).filter(F.col(OWN)["kept"]).drop(OWN)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
+    begun(spark, docs)
     found = simhash.near_duplicates(docs, into=OWN)
     named = found.filter(F.col("doc_id").eqNullSafe(F.col(OWN)["component_id"]))
     # Rows that share the id of their group's name are a group's only candidates.
@@ -41,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced and ``n_chars`` counted anew."""
+    begun(spark, docs)
     redacted = secrets.redact(secrets.secret_spans(docs, into=OWN), into=OWN)
     changed = F.size(F.col(OWN)["all"]) > 0
     chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -49,6 +58,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids and places in the sequences."""
+    begun(spark, docs)
     packed = packing.packed(docs.select("doc_id", "text"))
     return packed.select("doc_id", *packing.digest_columns(), F.col("piece.ids").alias("ids"))
 

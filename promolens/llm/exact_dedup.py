@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.llm.columns import SPACE, whole_text
-from promolens.llm.scratch import folder, table
+from promolens.llm.scratch import exists, folder, table
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -78,15 +78,10 @@ def stream_groups(log: DataFrame, log_path: str, files_per_batch: int = 200) ->
     shape = seen.schema
     # State only grows and its row that stays only gets smaller, so the newest entry is max and min.
     return (spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(out)
-            if _exists(spark, out) else spark.createDataFrame([], shape)
+            if exists(spark, out) else spark.createDataFrame([], shape)
             ).groupBy("_digest").agg(F.min("_stays").alias("_stays"), F.max("_size").alias("_size"))
 
 
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      into: str = "dedup", keep_text: bool = True,
                      digest: Callable[[Column], Column] = sha256,

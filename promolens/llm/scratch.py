@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from promolens.session import use_shared_checkpoints
 
 
+#: Folders that exist, by the checkpoint folder they lie in.
+_made: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, removed when the application ends."""
+    """A new path below ``spark.checkpoint.dir``, removed when the application ends at the latest."""
     use_shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _files(spark, path)
+    files.deleteOnExit(target)
+    _made.append(path)
     return path
 
 
@@ -23,3 +28,32 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _files(spark, path)
+    return files.exists(target)
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, unless: DataFrame | None = None) -> None:
+    """Remove the folders made after ``since``, but for those that ``unless`` reads.
+
+    Only for tables whose results are written elsewhere by now.
+    """
+    read = unless.inputFiles() if unless is not None else []
+    for path in _made[since:]:
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in file for file in read):
+            target, files = _files(spark, path)
+            files.delete(target, True)
+            _made.remove(path)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

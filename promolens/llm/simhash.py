@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.llm.columns import whole_text
-from promolens.llm.scratch import table
+from promolens.llm.scratch import mark, release, table
 from promolens.operators.joins import broadcast_if_small
 
 BITS = 64
@@ -158,6 +158,7 @@ def links(fingerprints: DataFrame, config: Near = Near()) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(fp, root): for each linked fingerprint the smallest one it is connected with."""
+    start = mark()
     edges = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .distinct(), "links")
     before = None
@@ -174,6 +175,7 @@ def connected(edges: DataFrame) -> DataFrame:
                          .alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
                  .filter("u != v").distinct())
         edges = table(small, "stars")
+        release(edges.sparkSession, start, unless=edges)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
