@@ -24,14 +24,16 @@ def latest_per_key(log: DataFrame, keys: Sequence[str], order_cols: Sequence[str
 
 def date_spine(fact: DataFrame, dates: Sequence[date] | None = None, start: date | None = None,
                end: date | None = None, name: str = "as_of_dt") -> DataFrame:
-    """Distinct fact dates in a list and/or an inclusive range."""
+    """Distinct fact dates in a list and/or an inclusive range; with a list, one bound may be open."""
     if dates is None and (start is None or end is None):
         raise ValueError("give a list of dates or both bounds")
     spine = fact.select(F.col("dt").alias(name))
     if dates is not None:
         spine = spine.where(F.col(name).isin(list(dates)))
-    if start is not None and end is not None:
-        spine = spine.where(F.col(name).between(F.lit(start), F.lit(end)))
+    if start is not None:
+        spine = spine.where(F.col(name) >= F.lit(start))
+    if end is not None:
+        spine = spine.where(F.col(name) <= F.lit(end))
     return spine.distinct()
 
 

@@ -28,7 +28,8 @@ def broadcast_if_small(side: DataFrame, max_rows: int) -> DataFrame:
     Catalyst's own size estimate of a list derived from a change log is the
     size of the log, so without the count the far larger fact side would be
     shuffled to meet a list of a few megabytes. A longer list gets no hint and
-    meets the facts in a shuffle join. Use it for narrow rows only.
+    meets the facts in a shuffle join. Use it for narrow rows only. Calling it
+    runs the job that stages and counts the list.
     """
     side = staged(side)
     return F.broadcast(side) if side.count() <= max_rows else side
@@ -54,12 +55,12 @@ def split_join(facts: DataFrame, side: DataFrame, keys: Sequence[str],
 
 def keep_listed(facts: DataFrame, listed: DataFrame, keys: Sequence[str],
                 max_rows: int) -> DataFrame:
-    """Drop facts whose keys are not listed, if the list is short enough to broadcast.
+    """Drop facts whose keys are not listed; the list's size only decides how they meet.
 
-    Only for facts that an inner join on ``keys`` filters later anyway: with a
-    longer list they come back whole, as shuffling them here would not pay.
+    A list of up to ``max_rows`` narrow rows is broadcast, so that facts are
+    dropped before any shuffle; a longer one meets them in a shuffle join.
     """
     listed = staged(listed)
-    if listed.count() > max_rows:
-        return facts
-    return facts.join(F.broadcast(listed), list(keys), "left_semi")
+    if listed.count() <= max_rows:
+        return facts.join(F.broadcast(listed), list(keys), "left_semi")
+    return split_join(facts, listed, keys, "left_semi")

@@ -18,8 +18,10 @@ COUNTS = ("completed_orders", "discounted_orders")
 
 def _in_dates(start: date | None, end: date | None, dates: Sequence[date] | None) -> Column:
     test = F.lit(True)
-    if start is not None and end is not None:
-        test &= F.col("dt").between(F.lit(start), F.lit(end))
+    if start is not None:
+        test &= F.col("dt") >= F.lit(start)
+    if end is not None:
+        test &= F.col("dt") <= F.lit(end)
     if dates is not None:
         test &= F.col("dt").isin(list(dates))
     return test

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 
 @dataclass(frozen=True)
 class ReportParams:
     """``start``/``end`` bound the facts; ``dates`` narrows them to a list.
 
-    ``as_of`` replaces the current timestamp and must carry a time zone.
+    ``as_of`` replaces the current timestamp and must carry a time zone;
+    ``time_zone`` is the session's, in which today's date is meant.
+    ``max_broadcast_rows`` bounds rows of lists with a few short columns (tens of
+    bytes each), so the default stays within some tens of megabytes.
     """
 
     start: date
@@ -26,6 +30,7 @@ class ReportParams:
     state_from: date | None = None
     count_store_once: bool = False
     max_broadcast_rows: int = 500_000
+    time_zone: str = "UTC"
 
     def __post_init__(self) -> None:
         if self.as_of.tzinfo is None:
@@ -36,5 +41,5 @@ class ReportParams:
     @property
     def pack_window(self) -> tuple[date, date]:
         """The last ``pack_window_days`` complete days before ``as_of``."""
-        today = self.as_of.date()
+        today = self.as_of.astimezone(ZoneInfo(self.time_zone)).date()
         return today - timedelta(days=self.pack_window_days), today - timedelta(days=1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from promolens.functions import slot_of
 from promolens.operators import orders, packs, segments
 from promolens.operators.experiments import latest_variant
-from promolens.operators.joins import keep_listed
+from promolens.operators.joins import keep_listed, staged
 from promolens.params import ReportParams
 from promolens.plans.discounts import month_segments
 from promolens.sources import Frames
@@ -21,7 +21,7 @@ _CHOICE = ["run_date", "store_id", "segment", "slot", "pack_id"]
 
 
 def pack_stores(mapping: DataFrame, params: ReportParams) -> DataFrame:
-    """Distinct (dt, store) of a stored mapping in the report window."""
+    """Distinct (dt, store) of a mapping in the report window."""
     window = mapping.where(F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
     return window.select(F.col("run_date").alias("dt"), "store_id").distinct()
 
@@ -31,8 +31,8 @@ def slot_metrics(frames: Frames, params: ReportParams, vocab: Vocabulary = DEFAU
     """Order metrics per (dt, store, slot, customer segment).
 
     Segments meet the orders before the lines do: afterwards everything down
-    to the final sums keeps the partitioning of the order join. ``stores``,
-    if short enough to broadcast, drops other stores' lines before any shuffle.
+    to the final sums keeps the partitioning of the order join. ``stores``
+    drops other stores' lines, before any shuffle if it is short enough to broadcast.
     """
     labelled = segments.with_segment(
         orders.eligible_orders(frames.orders, params.start, params.end, params.dates)
@@ -70,26 +70,25 @@ def efficiency_for(mapping: DataFrame, metrics: DataFrame, params: ReportParams,
 
 def efficiency(frames: Frames, params: ReportParams, vocab: Vocabulary = DEFAULT_VOCABULARY,
                mapping: DataFrame | None = None) -> DataFrame:
-    """Efficiency per (date, store, tier, mode, segment, slot); ``mapping`` may be a stored one."""
-    stores = None
+    """Efficiency per (date, store, tier, mode, segment, slot); ``mapping`` may be a stored one.
+
+    Without one the choices are staged: their stores then prune the lines, and
+    the documents are parsed once.
+    """
     if mapping is None:
-        mapping = packs.pack_identities(frames.campaign_state, params.state_from, keys=_CHOICE)
-    else:
-        stores = pack_stores(mapping, params)
-    return efficiency_for(mapping, slot_metrics(frames, params, vocab, stores), params,
-                          vocab=vocab)
+        mapping = staged(packs.pack_identities(frames.campaign_state, params.state_from,
+                                               keys=_CHOICE))
+    metrics = slot_metrics(frames, params, vocab, pack_stores(mapping, params))
+    return efficiency_for(mapping, metrics, params, vocab=vocab)
 
 
 def efficiency_by_variant(frames: Frames, params: ReportParams,
                           vocab: Vocabulary = DEFAULT_VOCABULARY,
                           mapping: DataFrame | None = None) -> DataFrame:
     """As ``efficiency``, also by the campaign's experiment variant."""
-    stores = None
     if mapping is None:
-        mapping = packs.pack_identities(frames.campaign_state, params.state_from,
-                                        latest_variant(frames.assignments),
-                                        ["campaign_id", *_CHOICE])
-    else:
-        stores = pack_stores(mapping, params)
-    return efficiency_for(mapping, slot_metrics(frames, params, vocab, stores), params,
-                          ["variant"], vocab)
+        mapping = staged(packs.pack_identities(frames.campaign_state, params.state_from,
+                                               latest_variant(frames.assignments),
+                                               ["campaign_id", *_CHOICE]))
+    metrics = slot_metrics(frames, params, vocab, pack_stores(mapping, params))
+    return efficiency_for(mapping, metrics, params, ["variant"], vocab)

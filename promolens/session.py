@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import SparkSession
 
 SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -17,8 +16,14 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; sizing stays with the cluster's own conf."""
+def configure(spark: SparkSession, time_zone: str | None = None) -> SparkSession:
+    """Apply the runtime settings; sizing stays with the cluster's own conf.
+
+    The session's time zone decides dates of epochs and day-parts. It is left
+    as it is unless ``time_zone`` names one.
+    """
+    if time_zone:
+        spark.conf.set("spark.sql.session.timeZone", time_zone)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_pack_mapping(mapping: DataFrame, table: str | None = None, path: str | None = None,
-                       fmt: str = "parquet") -> None:
+                       fmt: str = "parquet", files_per_date: int = 8,
+                       only_dates: bool = False) -> None:
     """Replace the stored pack mapping, to be built once and shared by the reports.
 
     One folder per run date, so a report's date window prunes folders. Rows
-    are hashed over date *and* store before the write: hashing by date alone
-    would put a whole day in one task. Inside a file rows are sorted the way
-    the reports look them up, which keeps row-group statistics selective.
+    are dealt by date and one of ``files_per_date`` store buckets: a day is
+    spread over that many tasks and has at most that many files. Inside a file
+    rows are sorted the way the reports look them up, which keeps row-group
+    statistics selective.
+
+    ``only_dates`` (paths only) replaces the dates that ``mapping`` holds and
+    keeps the others. Spark drops what is replaced before the new files are
+    all there, so a reader needs another copy while a write runs or has failed.
     """
     if (table is None) == (path is None):
         raise ValueError("name either a table or a path")
-    laid_out = (mapping.repartition("run_date", "store_id")
+    if only_dates and table is not None:
+        raise ValueError("single dates are replaced below a path only")
+    bucket = F.pmod(F.xxhash64("store_id"), F.lit(files_per_date))
+    laid_out = (mapping.repartition("run_date", bucket)
                 .sortWithinPartitions("run_date", "store_id", "segment", "slot", "campaign_id"))
     writer = laid_out.write.mode("overwrite").format(fmt).partitionBy("run_date")
+    writer = writer.option("partitionOverwriteMode", "dynamic" if only_dates else "static")
     if table:
         writer.saveAsTable(table)
     else:

@@ -6,6 +6,7 @@ is left out. ``oracle.py`` states the same bindings in SQL.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 from functools import cached_property
 
@@ -40,26 +41,23 @@ FUNNEL_PARAMS = ReportParams(
     pack_window_days=DAYS,
     state_from=FIRST_DAY,
 )
+# Cuts that leave out a part of the tables.
+LISTED_DATES = (date(2024, 1, 5), date(2024, 1, 20))
+LISTED_PARAMS = replace(PARAMS, dates=LISTED_DATES)
+WEEK_PARAMS = replace(FUNNEL_PARAMS, pack_window_days=7)
+OFFERS_SINCE, OFFER_DAYS = date(2024, 1, 16), 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    stored = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    stored = configure(spark, time_zone="UTC").read.parquet(f"{sf_dir}/{name}.parquet")
     if not stream:
         return stored
     return (spark.readStream.schema(stored.schema)
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a small one-file table over all cores; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def _events(spark: SparkSession, sf_dir: str, spread: bool = False,
-            stream: bool = False) -> DataFrame:
-    events = table(spark, sf_dir, "events", stream)
-    return ((_spread(events) if spread else events)
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return (table(spark, sf_dir, "events", stream)
             .withColumn("k", F.from_json("props", "k INT").k)
             .withColumn("updated_at", F.unix_timestamp("ts"))
             .withColumn("dt", F.to_date("ts"))
@@ -162,7 +160,7 @@ def campaign_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (F.when(F.col("event_type") == "error", F.lit(None))
             .when(F.col("k") == 99, F.lit("{bad"))
             .otherwise(document))
-    events = _events(spark, sf_dir, spread=True).withColumn("campaign_context", text)
+    events = _events(spark, sf_dir).withColumn("campaign_context", text)
     return normalise(events, "campaign_state", {
         "run_date": "dt",
         "run_ts": "ts",

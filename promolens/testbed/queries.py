@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,15 @@ from promolens.plans.discounts import month_segments, with_offer_mark
 from promolens.plans.efficiency import slot_metrics
 from promolens.plans.funnels import labelled_carts
 from promolens.session import use_shared_checkpoints
+from promolens.sources import write_pack_mapping
 from promolens.streaming import drain, hourly_discounts, latest_state, newest_updates
 from promolens.testbed.bindings import (
     FUNNEL_PARAMS,
+    LISTED_PARAMS,
+    OFFER_DAYS,
+    OFFERS_SINCE,
     PARAMS,
+    WEEK_PARAMS,
     BoundFrames,
     campaign_events,
     offer_lines,
@@ -351,6 +357,68 @@ def cart_funnel_variant(f: BoundFrames) -> DataFrame:
     return carts.cart_counts(segments.with_segment(f.carts, labels))
 
 
+# Cuts that leave out a part of the tables
+
+@_register
+def whitelisted_not_in_lists(f: BoundFrames) -> DataFrame:
+    """How many stores pass a strict NOT IN over the unfiltered list, its known stores, and none."""
+    live = campaigns.live_stores(f.campaign_events, PARAMS.as_of)
+    lists = {"as it is": live, "known stores": live.where(F.col("store_id").isNotNull()),
+             "empty": live.where(F.col("store_id") == "none")}
+    counts = [campaigns.whitelisted_without_campaign(f.store_events, listed, strict=True)
+              .agg(F.count(F.lit(1)).alias("stores")).select(F.lit(name).alias("list"), "stores")
+              for name, listed in lists.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@_register
+def offer_lock_meta_since(f: BoundFrames) -> DataFrame:
+    return offers.offer_lock_meta(f.offer_events, OFFERS_SINCE)
+
+
+@_register
+def offer_managed_flag_recent(f: BoundFrames) -> DataFrame:
+    return offers.offer_managed_flag(f.offer_events, PARAMS.end, OFFER_DAYS)
+
+
+@_register
+def report_intraday_listed_dates(f: BoundFrames) -> DataFrame:
+    return plans.intraday_segment_variant(f, LISTED_PARAMS)
+
+
+@_register
+def report_cart_funnel_week(f: BoundFrames) -> DataFrame:
+    return plans.cart_funnel_by_variant(f, WEEK_PARAMS)
+
+
+# Reports over a stored mapping
+
+def _stored_mapping(spark: SparkSession, f: BoundFrames) -> DataFrame:
+    """The pack mapping written once and read back, as reports share it."""
+    path = f"{_scratch(spark)}/mapping"
+    write_pack_mapping(packs.pack_mapping(f.campaign_state, PARAMS.state_from), path=path)
+    return spark.read.parquet(path)
+
+
+def pack_mapping_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = _stored_mapping(spark, BoundFrames(spark, sf_dir))
+    return mapping.drop("variant").withColumn("run_ts", F.unix_micros("run_ts"))
+
+
+def report_cart_funnel_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = BoundFrames(spark, sf_dir)
+    return plans.cart_funnel_by_pack(f, PARAMS, mapping=_stored_mapping(spark, f))
+
+
+def report_efficiency_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = BoundFrames(spark, sf_dir)
+    return plans.efficiency(f, PARAMS, mapping=_stored_mapping(spark, f))
+
+
+for _query in (pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored):
+    QUERIES[_query.__name__] = _query
+
+
 # Streams
 
 def _scratch(spark: SparkSession) -> str:
