@@ -45,7 +45,7 @@ FUNNEL_PARAMS = ReportParams(
 LISTED_DATES = (date(2024, 1, 5), date(2024, 1, 20))
 LISTED_PARAMS = replace(PARAMS, dates=LISTED_DATES)
 WEEK_PARAMS = replace(FUNNEL_PARAMS, pack_window_days=7)
-OFFERS_SINCE, OFFER_DAYS = date(2024, 1, 16), 10
+OFFERS_SINCE, OFFERS_UNTIL, OFFER_DAYS = date(2024, 1, 30), date(2024, 1, 15), 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:

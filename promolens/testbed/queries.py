@@ -34,6 +34,7 @@ from promolens.testbed.bindings import (
     LISTED_PARAMS,
     OFFER_DAYS,
     OFFERS_SINCE,
+    OFFERS_UNTIL,
     PARAMS,
     WEEK_PARAMS,
     BoundFrames,
@@ -378,7 +379,7 @@ def offer_lock_meta_since(f: BoundFrames) -> DataFrame:
 
 @_register
 def offer_managed_flag_recent(f: BoundFrames) -> DataFrame:
-    return offers.offer_managed_flag(f.offer_events, PARAMS.end, OFFER_DAYS)
+    return offers.offer_managed_flag(f.offer_events, OFFERS_UNTIL, OFFER_DAYS)
 
 
 @_register
