@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from promolens.llm.columns import SPACE, whole_text
 from promolens.llm.scratch import exists, folder, table
+from promolens.operators.joins import split_join
 
 #: State on disk; without preallocation, which takes 4 MB a state partition however little it holds.
 STATE = {"spark.sql.streaming.stateStore.providerClass":
@@ -117,7 +118,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = table(with_groups(marked.select("_digest", "_at", "_norm"), "inner")
                   .withColumn("_first", F.col("_stays._at") == F.col("_at")), "dedup-texts")
     first = texts.filter("_first").select("_digest", F.col("_norm").alias("_first_norm"))
-    wrong = (texts.filter("NOT _first").join(first, "_digest")
+    # A join of its own partitioning, so that Spark can split a digest with very many copies.
+    wrong = (split_join(texts.filter("NOT _first"), first, ["_digest"])
              .filter("_norm != _first_norm").select("_digest").distinct())
     wrong = table(wrong, "dedup-collisions")
     base = marked.select(*[f"`{c}`" for c in others], "_at", "_digest") if keep_text else log.select(
