@@ -13,7 +13,7 @@ a length that a third of all pieces have is ranked in many tasks.
 
 Pieces are tokenised in Arrow batches; chunks between ASCII white space are
 encoded once each (the pre-tokeniser drops white space, so tokens never cross
-it) and remembered in a bounded table per worker.
+it) and remembered in a bounded table per worker, which outlives its tasks.
 
 Edge cases: null and empty texts are the end token alone; a document longer
 than the capacity is cut; a null id and repeated rows are packed like any other
@@ -25,12 +25,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from promolens.llm.columns import whole_text
@@ -39,14 +42,16 @@ from promolens.llm.scratch import table
 
 @dataclass(frozen=True)
 class Packing:
-    """``rounds``: pricing steps of the linear program; ``salts``: tasks that rank one length."""
+    """``rounds``: pricing steps of the linear program; ``salts``: tasks that rank one length;
+    ``remembered``: chunks kept per worker, about 250 bytes each."""
 
     capacity: int = 4096
     end_token: int = 1
     tokenizer: str = "word_bpe_49k.json"
     rounds: int = 300
     salts: int = 64
-    remembered: int = 1_000_000
+    remembered: int = 400_000
+    texts_per_batch: int = 256
 
 
 class ChunkEncoder:
@@ -78,7 +83,8 @@ class ChunkEncoder:
         for at in range(0, len(plain), 1000):
             some = plain[at:at + 1000]
             joined = " \x01 ".join([c.decode("utf-8", "replace") for c in some])
-            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            found = self.library.encode_batch_fast([joined], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
             ends = (np.flatnonzero(ids == part[0]) * 4).tolist()
             data = ids.tobytes()
             starts = [0, *(e + 4 for e in ends)]
@@ -107,28 +113,57 @@ class ChunkEncoder:
                 yield b"".join(map(self.known.__getitem__, chunks))
 
 
+@cache
+def worker_encoder(path: str, limit: int) -> ChunkEncoder:
+    """The encoder of this worker process; what it remembers serves all its tasks."""
+    return ChunkEncoder(path, limit)
+
+
 def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
            into: str = "piece", with_ids: bool = True) -> DataFrame:
-    """One row per piece: the other columns and the struct (piece, start, length, crc, ids)."""
-    ids = ", ids: array<int>" if with_ids else ""
+    """One row per piece: the other columns and the struct (piece, start, length, crc, ids).
 
-    @F.pandas_udf(f"array<struct<piece: int, start: long, length: long, crc: long{ids}>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = ChunkEncoder(public_tokenizers.path(config.tokenizer), config.remembered)
+    Rows pass in small Arrow batches, so a worker holds a few hundred texts at a time.
+    """
+    others = [c for c in docs.columns if c not in (text, into)]
+    fields = {"piece": "int", "start": "long", "length": "long", "crc": "long"}
+    if with_ids:
+        fields["ids"] = "array<int>"
+    # Columns travel by place, as names of the table at hand may repeat or clash.
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)],
+                        whole_text(text).alias("_text"))
+    shape = T.StructType([*plain.schema.fields[:-1], T.StructField("_piece", T.StructType.fromDDL(
+        ", ".join(f"{name}: {kind}" for name, kind in fields.items())))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(public_tokenizers.path(config.tokenizer), config.remembered)
         end, width = np.array([config.end_token], dtype="<u4").tobytes(), 4 * config.capacity
         for batch in batches:
-            out = []
-            for ids in encoder.encode_many(list(batch)):
-                data = ids + end
-                parts = [data[at:at + width] for at in range(0, len(data), width)]
-                out.append([{"piece": i, "start": i * config.capacity, "length": len(p) // 4,
-                             "crc": zlib.crc32(p)}
-                            | ({"ids": np.frombuffer(p, "<i4")} if with_ids else {})
-                            for i, p in enumerate(parts)])
-            yield pd.Series(out)
-
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, into)]
-    return docs.select(*others, F.explode(cut(whole_text(text))).alias(into))
+            for at in range(0, batch.num_rows, config.texts_per_batch):
+                some = batch.slice(at, config.texts_per_batch)
+                row, number, parts = [], [], []
+                for i, ids in enumerate(encoder.encode_many(some.column(len(others)).to_pylist())):
+                    data = ids + end
+                    for k, start in enumerate(range(0, len(data), width)):
+                        row.append(i)
+                        number.append(k)
+                        parts.append(data[start:start + width])
+                numbers = np.array(number, dtype=np.int64)
+                sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+                columns = [pa.array(numbers, pa.int32()), pa.array(numbers * config.capacity),
+                           pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                        pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                taken = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(i).take(taken) for i in range(len(others))),
+                     pa.StructArray.from_arrays(columns, list(fields))],
+                    [f.name for f in shape])
+
+    return plain.mapInArrow(cut, shape).select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], F.col("_piece").alias(into))
 
 
 def dearest(prices: np.ndarray, capacity: int) -> dict[int, int]:
