@@ -39,7 +39,8 @@ def with_offer_mark(lines: DataFrame, marked_offers: DataFrame, mark: str,
     """
     offer = F.col("offer_id")
     if default_offer is not None:
-        offer = F.coalesce(offer, F.lit(default_offer))
+        kind = lines.schema["offer_id"].dataType
+        offer = F.coalesce(offer, F.lit(default_offer).cast(kind))
     side = marked_offers.select(F.col("offer_id").alias("_offer"), F.lit(True).alias("_marked"))
     return (split_join(lines.withColumn("_offer", offer), side, ["_offer"], "left")
             .withColumn(mark, F.coalesce("_marked", F.lit(False)))

@@ -64,6 +64,9 @@ FRAMES: dict[str, dict[str, str]] = {
     },
 }
 
+# Ids that are numbers, or text in all frames alike.
+ID_COLUMNS = frozenset({"cart_id", "order_id", "customer_id", "offer_id"})
+
 # Integer columns that are 0/1/NULL flags, delivered as numbers or as text.
 FLAG_COLUMNS = frozenset({"excluded_flag", "ignore_flag"})
 

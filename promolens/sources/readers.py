@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.schemas import FLAG_COLUMNS, FRAMES
+from promolens.schemas import FLAG_COLUMNS, FRAMES, ID_COLUMNS
 
 
 def _flag(col: Column) -> Column:
@@ -17,25 +17,30 @@ def _flag(col: Column) -> Column:
             .otherwise(F.lit(1)))
 
 
-def normalise(df: DataFrame, frame: str, columns: Mapping[str, str] | None = None) -> DataFrame:
+def normalise(df: DataFrame, frame: str, columns: Mapping[str, str] | None = None,
+              text_ids: bool = False) -> DataFrame:
     """Select and cast the columns of ``frame``.
 
     ``columns`` maps the library's column names to the names (or SQL
     expressions) of the table at hand; unnamed columns keep their name.
     A date or hour delivered as text becomes DATE or INT here, once, so no
-    later comparison or ordering sees text.
+    later comparison or ordering sees text. ``text_ids`` makes ids STRING, for
+    tables whose ids are not numbers; give it for all frames that meet.
     """
     columns = columns or {}
     selected = []
     for name, kind in FRAMES[frame].items():
         source = F.expr(columns.get(name, f"`{name}`"))
+        if text_ids and name in ID_COLUMNS:
+            kind = "STRING"
         value = _flag(source) if name in FLAG_COLUMNS else source.cast(kind)
         selected.append(value.alias(name))
     return df.select(*selected)
 
 
 def read_frame(spark: SparkSession, source: str, frame: str,
-               columns: Mapping[str, str] | None = None, fmt: str | None = None) -> DataFrame:
+               columns: Mapping[str, str] | None = None, fmt: str | None = None,
+               text_ids: bool = False) -> DataFrame:
     """Read a catalog table, or a path when ``fmt`` names a file format."""
     df = spark.read.format(fmt).load(source) if fmt else spark.table(source)
-    return normalise(df, frame, columns)
+    return normalise(df, frame, columns, text_ids)

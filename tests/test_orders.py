@@ -138,6 +138,18 @@ def test_variants_credit_each_campaign(spark, once, expected):
     assert rows(report, "customer_segment", "variant", "completed_orders") == expected
 
 
+@pytest.mark.parametrize(("once", "orders_of_store"), [(False, 2), (True, 1)])
+def test_campaigns_of_one_variant_may_count_a_store_once(spark, once, orders_of_store):
+    params = ReportParams(**{**PARAMS.__dict__, "count_store_once": once})
+    same = frame(spark, "assignments", [
+        {"campaign_id": c, "run_date": DAY, "run_ts": f"{DAY}T01:00:00", "variant": "x",
+         "event_id": i} for i, c in enumerate("ab")])
+    one = frame(spark, "offer_lines", [line(1)])
+    report = intraday_segment_variant(report_frames(spark, assignments=same, offer_lines=one), params)
+    assert rows(report, "customer_segment", "variant", "completed_orders") == [
+        ("S3", "x", orders_of_store)]
+
+
 @pytest.mark.parametrize(("once", "copies"), [(False, 2), (True, 1)])
 def test_exposure_copies(spark, once, copies):
     stores = spark.createDataFrame(

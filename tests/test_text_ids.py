@@ -1,0 +1,33 @@
+"""Ids stored as text give the reports that numbers give."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from promolens import plans
+from promolens.schemas import FRAMES, ID_COLUMNS
+from promolens.sources import Frames, normalise
+from promolens.testbed.bindings import PARAMS, BoundFrames
+from tests.builders import rows
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def as_text(df, name):
+    """The frame with ids such as c-17; a missing id stays missing, offer 0 keeps its name."""
+    named = df.withColumns({c: F.when(F.col(c) == 0, "0").otherwise(F.concat(F.lit("c-"), c))
+                            for c in ID_COLUMNS.intersection(df.columns)})
+    return normalise(named, name, text_ids=True)
+
+
+@pytest.mark.parametrize("report", ["cart_funnel_by_pack", "intraday_segment_variant", "efficiency",
+                                    "managed_vs_unmanaged"])
+def test_reports_take_text_ids(spark, report):
+    bound = BoundFrames(spark, SF_DIR)
+    whole = {name: getattr(bound, name) for name in FRAMES}
+    texts = {name: as_text(df, name) for name, df in whole.items()}
+    assert dict(texts["carts"].dtypes)["cart_id"] == "string"
+    run = getattr(plans, report)
+    wanted = rows(run(Frames(**whole), PARAMS))
+    assert wanted and rows(run(Frames(**texts), PARAMS)) == wanted
