@@ -22,10 +22,12 @@ row; an empty table gives an empty result; other columns pass unchanged.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from promolens.llm.columns import whole_text
 from promolens.llm.scratch import table
@@ -43,74 +45,64 @@ from promolens.llm.scratch import table
 @dataclass(frozen=True)
 class Packing:
     """``rounds``: pricing steps of the linear program; ``salts``: tasks that rank one length;
-    ``remembered``: chunks kept per worker, about 250 bytes each."""
+    ``remembered``: chunks, and words in them, kept per worker, about 250 bytes each."""
 
     capacity: int = 4096
     end_token: int = 1
     tokenizer: str = "word_bpe_49k.json"
     rounds: int = 300
     salts: int = 64
-    remembered: int = 400_000
+    remembered: int = 250_000
     texts_per_batch: int = 256
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian bytes; at most ``limit`` chunks are remembered.
+#: What may end a plain chunk: ASCII marks but the apostrophe, which opens contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Other letters of a plain chunk; their lower case is one letter, too.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Bytes of a chunk beyond which it is not remembered, which bounds the table's memory.
+LONG = 100
 
-    New chunks go through the library many at once, parted by a chunk whose
-    single token none of them holds.
+
+class ChunkEncoder(dict):
+    """Ids of texts as little-endian bytes; maps up to ``limit`` chunks to theirs, and as many words.
+
+    The pre-tokeniser parts letters from the marks behind them. Such a plain
+    chunk goes to the library's model at once, its lower-cased word and its
+    marks apart; any other chunk passes the whole library.
     """
 
     def __init__(self, path: str, limit: int) -> None:
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.limit, self.known = limit, {}
-        self.parting = self.ids("\x01")
-
-    def ids(self, text: str) -> bytes:
-        found = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(found, dtype="<u4").tobytes()
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.limit:
-            self.known.clear()
-        plain = [c for c in chunks if b"\x01" not in c and len(c) < 1000]
-        for c in set(chunks).difference(plain):
-            self.known[c] = self.ids(c.decode("utf-8", "replace"))
-        part = np.frombuffer(self.parting, "<u4")
-        assert len(part) == 1
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            joined = " \x01 ".join([c.decode("utf-8", "replace") for c in some])
-            found = self.library.encode_batch_fast([joined], add_special_tokens=False)[0]
-            ids = np.array(found.ids, dtype="<u4")
-            ends = (np.flatnonzero(ids == part[0]) * 4).tolist()
-            data = ids.tobytes()
-            starts = [0, *(e + 4 for e in ends)]
-            self.known.update(zip(some, [data[a:b] for a, b in zip(starts, [*ends, len(data)])],
-                                  strict=True))
+        self.model, self.limit = self.library.model, limit
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.part = lru_cache(limit)(self.part_ids)
+
+    def part_ids(self, part: str) -> bytes:
+        if not part.isascii():
+            part = self.spelled.pre_tokenize_str(part)[0][0]
+        return array("I", [token.id for token in self.model.tokenize(part)]).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if len(chunk) > LONG:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.limit:
+            self.clear()
+        word = text.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or LATIN(word)):
+            marks = text[len(word):]
+            ids = self.part(word.lower()) + (self.part(marks) if marks else b"")
+        else:
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.encode("utf-8", "surrogatepass").split()
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.limit:
-                new = set(chunks)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, chunks))
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """As ``encode``, learning the new chunks of several texts in one go."""
-        for at in range(0, len(texts), 64):
-            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at:at + 64]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > self.limit:
-                new = set().union(*split)
-            if new:
-                self.learn(list(new))
-            for chunks in split:
-                yield b"".join(map(self.known.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 @cache
@@ -142,8 +134,8 @@ def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
             for at in range(0, batch.num_rows, config.texts_per_batch):
                 some = batch.slice(at, config.texts_per_batch)
                 row, number, parts = [], [], []
-                for i, ids in enumerate(encoder.encode_many(some.column(len(others)).to_pylist())):
-                    data = ids + end
+                for i, whole in enumerate(some.column(len(others)).to_pylist()):
+                    data = encoder.encode(whole) + end
                     for k, start in enumerate(range(0, len(data), width)):
                         row.append(i)
                         number.append(k)

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from promolens.llm.packing import Packing, best_fit, digest_columns, packed, plan
+from promolens.llm.packing import LONG, ChunkEncoder, Packing, best_fit, digest_columns, packed, plan
 
 
 def _check(rows, texts, capacity):
@@ -74,3 +75,16 @@ def test_edges(spark):
     assert len(got) == 3 and len({r.offset for r in got}) == 3 and len({r.sequence_id for r in got}) == 1
     assert all(len(r.ids) == r.length == 3 for r in got)
     assert packed(docs.limit(0), Packing(rounds=5)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [2, 250_000])
+def test_chunks_have_the_ids_of_the_whole_text(limit):
+    path = public_tokenizers.path(Packing().tokenizer)
+    whole, encoder = Tokenizer.from_file(path), ChunkEncoder(path, limit)
+    texts = ["", " ", "Rain, rain... (go) away!", "we'll WE'LL 'tis rock'n'roll", "x<|endoftext|>y a<|startoftext|>",
+             "İstanbul ΣΑΣ Straße É ñ̃ é क़ 日本語", "a1b22 a_b _ ß ÿ Ÿ µ ª º ×÷ \x01 x y \x1c \x85",
+             "A" * 5000 + "!" * 300, "naïve naïve Naïve, naïve"]
+    for text in texts:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
+    assert len(encoder) <= limit and all(len(chunk) <= LONG for chunk in encoder)
