@@ -127,15 +127,38 @@ class PieceLattice:
 
     def filtered(self, weight: np.ndarray) -> np.ndarray:
         """Running sums of the chances of each last length, by (unit, end): the forward
-        values of the places before, times the weights, scaled at every place."""
+        values of the places before, times the weights, scaled at every place.
+
+        A run of characters without a piece lets the older values outgrow any
+        number; such units are filtered again with logarithms."""
         units, places, wide = weight.shape
         before, sums = np.zeros((units, wide)), np.zeros_like(weight)
         before[:, 0] = 1
-        for end in range(1, places):
-            ways = before * weight[:, end]
-            total = ways.sum(axis=1, keepdims=True)
-            sums[:, end] = np.cumsum(ways, axis=1) / total
-            before = np.concatenate([total, before[:, :-1]], axis=1) / total
+        with np.errstate(over="ignore", invalid="ignore"):
+            for end in range(1, places):
+                ways = before * weight[:, end]
+                total = ways.sum(axis=1, keepdims=True)
+                sums[:, end] = np.cumsum(ways, axis=1) / total
+                before = np.concatenate([total, before[:, :-1]], axis=1) / total
+        lost = ~np.isfinite(sums[:, :, -1]).all(axis=1)
+        if lost.any():
+            sums[lost] = self.filtered_logs(weight[lost])
+        return sums
+
+    def filtered_logs(self, weight: np.ndarray) -> np.ndarray:
+        """``filtered`` with the forward values as logarithms, relative to the newest."""
+        units, places, wide = weight.shape
+        before, sums = np.full((units, wide), -np.inf), np.zeros_like(weight)
+        before[:, 0] = 0
+        with np.errstate(divide="ignore"):
+            for end in range(1, places):
+                ways = before + np.log(weight[:, end])
+                top = ways.max(axis=1, keepdims=True)
+                chances = np.exp(ways - top)
+                total = chances.sum(axis=1, keepdims=True)
+                sums[:, end] = np.cumsum(chances, axis=1) / total
+                newest = top + np.log(total)
+                before = np.concatenate([newest, before[:, :-1]], axis=1) - newest
         return sums
 
     def drawn(self, sums: np.ndarray, ids: np.ndarray, unit: np.ndarray, state: np.ndarray):

@@ -65,6 +65,29 @@ def test_pieces_are_drawn_with_the_lattice_s_chances():
         assert abs(drawn.count(ids) / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
 
 
+@pytest.mark.parametrize("run", ["\u1208" * 20, "\u1208\u0e81" * 300, "\U000130a0" * 40])
+def test_a_word_behind_characters_without_a_piece_keeps_its_chances(run):
+    lattice = PieceLattice(public_tokenizers.path("piece_bpe_32k.model"), Sampling())
+    surface = {s.decode(): i for i, s in enumerate(lattice.surface) if len(s) and i > 258}
+    assert not set(run) & set(surface)
+    weight = {i: float(lattice.weight[n]) for n, i in enumerate(lattice.piece_id.tolist()) if i >= 0}
+    word, ways = "then", {}
+    for cuts in product([0, 1], repeat=len(word) - 1):
+        ends = [i for i, c in enumerate([*cuts, 1], 1) if c]
+        parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+        if all(p in surface for p in parts):
+            ways[tuple(surface[p] for p in parts)] = float(np.prod([weight[surface[p]] for p in parts]))
+    n = 4000
+    lead = len(run.encode())
+    drawn = [tuple(x.tolist()) for x in lattice.sample([run + word] * n, [str(i) for i in range(n)])]
+    tails = [ids[len(ids) - next(k for k in range(1, 5) if ids[-k:] in ways):] for ids in drawn]
+    assert all(lattice.decode(np.array(ids)) == run + word for ids in set(drawn))
+    assert all(len(ids) - len(t) <= lead + 1 for ids, t in zip(drawn, tails))
+    for ids, w in ways.items():
+        p = w / sum(ways.values())
+        assert abs(tails.count(ids) / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
+
+
 def test_pieces_round_trip_and_repeat(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(
         spark.createDataFrame([(-i - 1, t) for i, t in enumerate([*ODD, None, "x" * 3000])], "doc_id long, text string"))
