@@ -1,16 +1,24 @@
 """Secrets in texts: fixed patterns, and random-looking tokens by a test battery.
 
 Three patterns (assignments, access keys, long hexadecimal runs) always count.
-Other tokens of 20 or more key characters are read in the encoding their
-characters suggest (hexadecimal, base32, base64) and put through three tests
-of "the symbols are random": chi-squared uniformity over five alphabet groups,
+Every other token of 20 or more key characters is read in the encoding its
+characters suggest (hexadecimal, base32, base36 of either case, letters of both
+cases, base64), or else in the widest, and put through three tests of "the
+symbols are random": chi-squared uniformity over five alphabet groups,
 Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation.
 Fisher's method joins the three p-values. Over all documents, and apart for
 each band of lengths (short tokens have less power and must not share a family
-with long ones), the Benjamini-Hochberg step-up at rate ``q`` decides which
-tokens are proven not random; the others are reported as kind ``random``. The
-step-up works on counts per (band, p bin), a table of fixed size, and only one
-threshold per band reaches the driver.
+with long ones) and group of encodings (plain words, which most tokens without
+an encoding of their own are, must not share one with keys), the
+Benjamini-Hochberg step-up at rate ``q`` decides which tokens are proven not
+random; the others are reported as kind ``random``. The step-up works on counts
+per (band, p bin), a table of fixed size, and only one threshold per band
+reaches the driver.
+
+Letters of one case without a digit, digits alone, and letters of one case and
+digits with a sign (``+/_-``) have no encoding of their own: most are words,
+numbers, paths and names. They are tested in base64, which long ones of them
+are proven not to be.
 
 Everything is built-in expressions. Edge cases: null text is empty; no match
 gives empty lists; tokens that touch a pattern's span are not reported twice;
@@ -38,7 +46,12 @@ BASE_KINDS = ("assign", "access", "hex")
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-             "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+             "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+             "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+             "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+WIDEST = "base64"
+#: Encodings whose tokens share families of tests; tokens without one are the last group.
+FAMILIES = (("hex", "base32", "base64"), ("base36",), ("letters",))
 GROUPS = 5
 BINS_PER_DECADE, MAX_BIN = 10, 300
 
@@ -53,11 +66,13 @@ class Battery:
 
 
 def encoding(token: Column) -> Column:
-    """hex, base32 or base64 by the characters present; null where none fits."""
+    """The encoding by the characters present; null where none fits."""
     return (F.when(token.rlike("^[0-9]+$"), None)
             .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & token.rlike("[A-Fa-f]"), "hex")
             .when(token.rlike("^[A-Z2-7]+$") & token.rlike("[2-7]") & token.rlike("[A-Z]"), "base32")
-            .when(token.rlike("[0-9]") & token.rlike("[A-Z]") & token.rlike("[a-z]"), "base64"))
+            .when(token.rlike("[0-9]") & token.rlike("[A-Z]") & token.rlike("[a-z]"), "base64")
+            .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$") & token.rlike("[0-9]"), "base36")
+            .when(token.rlike("^[A-Za-z]+$") & token.rlike("[A-Z]") & token.rlike("[a-z]"), "letters"))
 
 
 def uniformity(values: Column, size: int) -> Column:
@@ -101,7 +116,7 @@ def serial(values: Column) -> Column:
 
 
 def randomness(token: Column, kind: Column) -> Column:
-    """Fisher's combined p of the three tests; null without an encoding."""
+    """Fisher's combined p of the three tests, in the widest alphabet without an encoding."""
     def fisher(tests: list[Column]) -> Column:
         logs = [F.log(F.least(F.greatest(p, F.lit(1e-40)), F.lit(1.0))) for p in tests]
         return let(-(logs[0] + logs[1] + logs[2]),
@@ -109,17 +124,27 @@ def randomness(token: Column, kind: Column) -> Column:
 
     def of(name: str) -> Column:
         alphabet = ALPHABETS[name]
-        plain = F.lower(token) if name == "hex" else F.translate(token, "-_", "+/")
+        plain = F.lower(token) if name in ("hex", "base36") else F.translate(token, "-_", "+/")
         values = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
         return let(values, lambda v: fisher([uniformity(v, len(alphabet)), runs(v, len(alphabet)),
                                              serial(v)]))
 
-    found = F.lit(None).cast("double")
+    found = of(WIDEST)
     for name in ALPHABETS:
-        found = F.when(kind == name, of(name)).otherwise(found)
+        if name != WIDEST:
+            found = F.when(kind == name, of(name)).otherwise(found)
     return found
 
 
+def family(token: Column, kind: Column, config: Battery) -> Column:
+    """The number of the token's family of tests: its band of lengths within its group of encodings."""
+    group = F.lit(len(FAMILIES))
+    for i, names in enumerate(FAMILIES):
+        group = F.when(kind.isin(*names), i).otherwise(group)
+    return group * len(config.bands) + sum(
+        (F.when(F.length(token) >= b, 1).otherwise(0) for b in config.bands[1:]), F.lit(0))
+
+
 def scanned(docs: DataFrame, config: Battery = Battery(), text: str = "text",
             into: str = "secrets") -> DataFrame:
     """Base spans and tested tokens of every text: the struct (base, tokens)."""
@@ -132,18 +157,16 @@ def scanned(docs: DataFrame, config: Battery = Battery(), text: str = "text",
 
     def tested(found: Column) -> Column:
         tokens = F.filter(spans(whole, TOKEN), lambda s: ~overlaps(s, found))
-        return F.filter(F.transform(tokens, lambda s: F.struct(
+        return F.transform(tokens, lambda s: let(encoding(s["found"]), lambda kind: F.struct(
             s["start"].alias("start"), s["end"].alias("end"),
-            randomness(s["found"], encoding(s["found"])).alias("p"),
-            sum((F.when(F.length(s["found"]) >= b, 1).otherwise(0) for b in config.bands[1:]),
-                F.lit(0)).alias("band"))), lambda t: t["p"].isNotNull())
+            randomness(s["found"], kind).alias("p"), family(s["found"], kind, config).alias("band"))))
 
     return docs.withColumn(into, let(by_start(base), lambda b: F.struct(
         b.alias("base"), tested(b).alias("tokens"))))
 
 
 def thresholds(found: DataFrame, config: Battery = Battery(), into: str = "secrets") -> list[float]:
-    """Per band the largest p that Benjamini-Hochberg rejects; at most one row a band is collected."""
+    """Per family the largest p that Benjamini-Hochberg rejects; at most one row a family is collected."""
     binned = (found.select(F.explode(F.col(into)["tokens"]).alias("t"))
               .select("t.band", F.least(F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(1e-300)))
                                                 * BINS_PER_DECADE), F.lit(MAX_BIN)).alias("bin"))
@@ -155,7 +178,7 @@ def thresholds(found: DataFrame, config: Battery = Battery(), into: str = "secre
            .filter(edge <= config.q * F.col("rank") / F.col("m"))
            .groupBy("band").agg(F.max(edge).alias("p")))
     by_band = {r["band"]: r["p"] for r in cut.collect()}
-    return [by_band.get(b, 0.0) for b in range(len(config.bands))]
+    return [by_band.get(b, 0.0) for b in range(len(config.bands) * (len(FAMILIES) + 1))]
 
 
 def secret_spans(docs: DataFrame, config: Battery = Battery(), text: str = "text",

@@ -88,3 +88,21 @@ def test_redaction_and_encodings(spark):
     assert secret_spans(docs.limit(0)).count() == 0
     kinds = spark.createDataFrame([("deadbeef01",), ("DEADBEEF01",), ("ABZ27",), ("aB3-_",), ("123",), ("word",)], "t string")
     assert [r[0] for r in kinds.select(encoding(F.col("t"))).collect()] == ["hex", "hex", "base32", "base64", None, None]
+
+
+def test_tokens_of_every_alphabet_meet_the_battery(spark):
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = {"base36": lower + digits, "BASE36": upper + digits, "letters": lower + upper}
+    texts = [(name, "".join(rng.choices(of, k=n))) for name, of in keys.items() for n in (24, 32, 48) for _ in range(40)]
+    words = ["internationalization", "wp-content/uploads/pictures", "a_rather_long_name_of_2024", "20240131235959000000",
+             "MAXIMUM_NUMBER_OF_TRIES"]
+    texts += [("word", words[i % 5]) for i in range(120)]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    met = scanned(docs).select(F.size("secrets.tokens").alias("n")).collect()
+    assert all(r.n == 1 for r in met)
+    found = {}
+    for r in secret_spans(docs).select("doc_id", F.size("secrets.all").alias("n")).collect():
+        found.setdefault(texts[r.doc_id][0], []).append(r.n)
+    assert all(sum(found[name]) >= 0.9 * 120 for name in keys)
+    assert sum(found["word"]) == 0
