@@ -3,10 +3,11 @@
 The lengths of all pieces form a histogram with at most ``capacity`` entries,
 the only thing the driver sees. Over it the configuration linear program
 (how often to use each multiset of lengths that fits one sequence) is solved by
-multiplicative weights: lengths carry prices, an unbounded knapsack by dynamic
-programming finds the dearest pattern, the pattern is used for a share of the
-pieces left, and prices of what it covered fall. The fractional uses are rounded
-down, and what is left is filled by best fit on the histogram, again a whole
+column generation: a basis of patterns prices the lengths, an unbounded knapsack
+by dynamic programming finds the dearest pattern, which enters the basis, until
+the program's value is within ``gap`` of a bound from the prices. The fractional
+uses are rounded down, then up where pieces are still there, and only what is
+left is filled by best fit on the histogram, again a whole
 number of uses of one pattern at a time. Every piece then finds its place by its rank
 among the pieces of its length: ranks come from counts per (length, salt), so
 a length that a third of all pieces have is ranked in many tasks.
@@ -44,13 +45,15 @@ from promolens.llm.scratch import table
 
 @dataclass(frozen=True)
 class Packing:
-    """``rounds``: pricing steps of the linear program; ``salts``: tasks that rank one length;
+    """``gap``: how far the linear program may end above its bound; ``rounds``: its pricing steps
+    in a row that may bring nothing; ``salts``: tasks that rank one length;
     ``remembered``: chunks, and words in them, kept per worker, about 250 bytes each."""
 
     capacity: int = 4096
     end_token: int = 1
     tokenizer: str = "word_bpe_49k.json"
     rounds: int = 300
+    gap: float = 0.001
     salts: int = 64
     remembered: int = 250_000
     texts_per_batch: int = 256
@@ -158,57 +161,136 @@ def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
         *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], F.col("_piece").alias(into))
 
 
-def dearest(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Lengths and their counts of the pattern with the largest total price that fits.
-
-    ``prices[l]`` belongs to length l; zero for lengths not in demand.
-    """
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths with a price, and per room the largest total price that fits."""
     sizes = np.flatnonzero(prices > 0)
     value, best = prices[sizes], np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, dtype=np.int64)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        fit = np.searchsorted(sizes, room, side="right")
         best[room] = best[room - 1]
-        if fit:
-            totals = best[room - sizes[:fit]] + value[:fit]
-            at = int(np.argmax(totals))
-            if totals[at] > best[room] + 1e-15:
-                best[room], last[room] = totals[at], sizes[at]
+        if fits[room]:
+            best[room] = max(best[room], (best[room - sizes[:fits[room]]] + value[:fits[room]]).max())
+    return sizes, best
+
+
+def dearest(sizes: np.ndarray, best: np.ndarray, value: np.ndarray, there: np.ndarray) -> dict[int, int]:
+    """Lengths and their counts of a pattern with the largest total price, if the lengths still
+    ``there`` have one; of several, the one with the longest lengths."""
     pattern: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room]:
-            pattern[int(last[room])] = pattern.get(int(last[room]), 0) + 1
-            room -= int(last[room])
-        else:
+    room = len(best) - 1
+    while room > 0 and best[room] > 0:
+        fit = int(np.searchsorted(sizes, room, side="right"))
+        fits = np.flatnonzero((best[room] - (best[room - sizes[:fit]] + value[:fit]) <= 1e-9 * best[-1])
+                              & there[:fit])
+        if not len(fits):
             room -= 1
+            continue
+        size = int(sizes[fits[-1]])
+        pattern[size] = pattern.get(size, 0) + 1
+        room -= size
     return pattern
 
 
-def linear_program(counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns and fractional uses that cover every count, by multiplicative weights.
+def dual_bound(counts: np.ndarray, capacity: int) -> float:
+    """A lower bound of the linear program: for a cut a, lengths above ``capacity - a`` cost a
+    sequence, lengths below a nothing, others their share of one; no pattern costs more than one."""
+    size = np.arange(len(counts))
+    n, tokens = np.cumsum(counts[::-1])[::-1], np.concatenate([[0], np.cumsum(counts * size)])
+    cuts = np.arange(0, capacity // 2 + 1)
+    above = np.concatenate([n, [0]])[capacity - cuts + 1]
+    return float((above + (tokens[capacity - cuts + 1] - tokens[cuts]) / capacity).max(initial=0.0))
+
+
+def fullest(need: np.ndarray, capacity: int) -> Iterator[dict[int, int]]:
+    """Fullest patterns of the lengths that ``need`` has at the time."""
+    size = np.arange(len(need), dtype=float)
+    while True:
+        price = np.where(need > 0, size, 0.0)
+        sizes, best = knapsack(price, capacity)
+        pattern = dearest(sizes, best, price[sizes], need[sizes] > 0)
+        while sum(l * n for l, n in pattern.items()) == best[-1]:
+            yield pattern
+            pattern = dearest(sizes, best, price[sizes], need[sizes] > 0)
+
+
+def longest(need: np.ndarray, capacity: int) -> Iterator[dict[int, int]]:
+    """Patterns of the longest length that ``need`` has at the time, then the longest that fits."""
+    while True:
+        sizes, room, pattern = np.flatnonzero(need > 0), capacity, {}
+        while fit := int(np.searchsorted(sizes, room, side="right")):
+            size = int(sizes[fit - 1])
+            pattern[size] = room // size
+            room %= size
+        yield pattern
+
+
+def first_basis(counts: np.ndarray, capacity: int, patterns) -> tuple[list[dict[int, int]], np.ndarray]:
+    """Per length a pattern and its uses, which together cover every count.
 
-    A length starts at a price of its size and its price falls by the share of
-    it that is covered, so a round's pattern looks for what is behind. The uses
-    are scaled to the least covered length in the end.
+    The next of ``patterns`` of what is left is used until a length is gone,
+    which becomes that pattern's length. No later pattern holds it, so the
+    patterns are a triangular basis of the linear program.
     """
-    wanted = counts > 0
-    sizes = np.arange(len(counts), dtype=float)
-    weight = np.where(wanted, 1.0, 0.0)
-    need, uses = counts.astype(float), []
-    covered = np.zeros(len(counts))
-    for _ in range(rounds):
-        pattern = dearest(np.where(wanted, weight * sizes, 0.0), capacity)
-        at = np.fromiter(pattern, dtype=np.int64)
-        each = np.fromiter(pattern.values(), dtype=float)
+    need = counts.astype(float)
+    basis = {l: ({l: capacity // l}, 0.0) for l in np.flatnonzero(counts).tolist()}
+    source = patterns(need, capacity)
+    while need.any():
+        pattern = next(source)
+        at, each = np.array(list(pattern)), np.array(list(pattern.values()))
         step = float((need[at] / each).min())
-        covered[at] += each * step / need[at]
-        weight[at] *= np.exp(-0.5 * each * step / need[at])
-        top = weight.max()
-        weight = np.where(wanted, np.maximum(weight / top, 1e-6), 0.0)
-        uses.append((pattern, step))
-    # Each length's demand is met by its own share of the uses that hold it.
-    return [(p, s / max(1.0, max(covered[l] for l in p))) for p, s in uses]
+        need[at] -= each * step
+        gone = at[need[at] <= 1e-9 * counts[at]]
+        need[gone] = 0
+        basis[int(gone[0])] = (pattern, step)
+    return [p for p, _ in basis.values()], np.array([u for _, u in basis.values()])
+
+
+def linear_program(counts: np.ndarray, capacity: int, rounds: int, gap: float
+                   ) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Patterns and fractional uses that cover every count, and a lower bound of their sum.
+
+    Column generation from the better of two bases: the basis prices the lengths, a
+    knapsack finds the dearest pattern, which enters the basis, until the sum
+    is within ``gap`` of the bound that the knapsack gives. Only ``rounds``
+    rounds in a row without any progress (a degenerate basis) end it earlier.
+    """
+    lengths, bound = np.flatnonzero(counts), dual_bound(counts, capacity)
+    patterns, uses = first_basis(counts, capacity, fullest)
+    if uses.sum() > (1 + gap) * bound:
+        other = first_basis(counts, capacity, longest)
+        patterns, uses = min((patterns, uses), other, key=lambda basis: basis[1].sum())
+    m, row = len(lengths), {int(l): i for i, l in enumerate(lengths)}
+    if uses.sum() <= (1 + gap) * bound:
+        return list(zip(patterns, uses.tolist())), bound
+
+    def column(pattern: dict[int, int]) -> np.ndarray:
+        out = np.zeros(m)
+        for l, n in pattern.items():
+            out[row[l]] = n
+        return out
+
+    inverse = np.linalg.inv(np.stack([column(p) for p in patterns], axis=1))
+    still = 0
+    while uses.sum() > (1 + gap) * bound and still < rounds:
+        price = np.zeros(len(counts))
+        price[lengths] = np.maximum(inverse.sum(axis=0), 0)
+        sizes, best = knapsack(price, capacity)
+        bound = max(bound, float(price @ counts) / best[-1])
+        if best[-1] <= 1 + 1e-9:
+            break
+        pattern = dearest(sizes, best, price[sizes], np.ones(len(sizes), dtype=bool))
+        into = inverse @ column(pattern)
+        ratio = np.where(into > 1e-9, uses / np.where(into > 1e-9, into, 1.0), np.inf)
+        out = int(np.argmin(ratio))
+        step = float(ratio[out])
+        still = 0 if step * (best[-1] - 1) > 1e-9 * bound else still + 1
+        uses = np.maximum(uses - step * into, 0)
+        uses[out], patterns[out] = step, pattern
+        inverse[out] /= into[out]
+        into[out] = 0
+        for at in np.flatnonzero(into):
+            inverse[at] -= into[at] * inverse[out]
+    return list(zip(patterns, uses.tolist())), bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -236,20 +318,29 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
         out.append((pattern, times))
 
 
+def rounded(uses: list[tuple[dict[int, int], float]], counts: np.ndarray
+            ) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole uses of all patterns, rounded down, then up where their pieces are still there,
+    the largest fraction first; and the counts they leave."""
+    left, chosen = counts.copy(), []
+    whole = [(p, int(u + 1e-6)) for p, u in uses]
+    more = [(p, 1) for p, u in sorted(uses, key=lambda use: int(use[1] + 1e-6) - use[1]) if u > int(u + 1e-6)]
+    for pattern, most in whole + more:
+        times = min(most, *(int(left[l]) // n for l, n in pattern.items()))
+        if times > 0:
+            for l, n in pattern.items():
+                left[l] -= n * times
+            chosen.append((pattern, times))
+    return chosen, left
+
+
 def plan(counts: np.ndarray, config: Packing = Packing()) -> list[tuple[dict[int, int], int]]:
     """Patterns with whole uses that hold exactly ``counts[l]`` pieces of each length l."""
-    left, chosen = counts.copy(), []
-    if counts.any():
-        for pattern, share in linear_program(counts, config.capacity, config.rounds):
-            times = min(int(share), *(int(left[l]) // n for l, n in pattern.items()))
-            full = sum(l * n for l, n in pattern.items()) == config.capacity
-            if times > 0 and full:
-                for l, n in pattern.items():
-                    left[l] -= n * times
-                chosen.append((pattern, times))
-    rounded = chosen + best_fit(left, config.capacity)
-    plain = best_fit(counts, config.capacity)
-    return min(rounded, plain, key=lambda uses: sum(t for _, t in uses))
+    if not counts.any():
+        return []
+    uses, _ = linear_program(counts, config.capacity, config.rounds, config.gap)
+    chosen, left = rounded(uses, counts)
+    return chosen + best_fit(left, config.capacity)
 
 
 def slots(uses: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

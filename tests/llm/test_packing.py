@@ -88,3 +88,23 @@ def test_chunks_have_the_ids_of_the_whole_text(limit):
         ids = whole.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
     assert len(encoder) <= limit and all(len(chunk) <= LONG for chunk in encoder)
+
+
+def test_the_program_covers_every_length_within_its_gap():
+    from promolens.llm.packing import linear_program, rounded
+
+    rng = np.random.default_rng(4)
+    wide = np.bincount(np.clip(rng.lognormal(5.5, 1, 50000).astype(int) + 1, 1, 4096), minlength=4097)
+    narrow = np.bincount(rng.integers(30, 51, 5000), minlength=101)
+    for counts, capacity in ((wide, 4096), (narrow, 100)):
+        uses, bound = linear_program(counts, capacity, 300, Packing().gap)
+        assert sum(u for _, u in uses) <= (1 + Packing().gap) * bound
+        held = np.zeros(len(counts))
+        for pattern, u in uses:
+            assert sum(l * n for l, n in pattern.items()) <= capacity
+            for l, n in pattern.items():
+                held[l] += n * u
+        assert held == pytest.approx(counts, abs=1e-3)
+        chosen, left = rounded(uses, counts)
+        assert left.sum() <= 0.2 * counts.sum()
+        assert sum(t for _, t in plan(counts, Packing(capacity=capacity))) <= bound * (1 + Packing().gap) + 3
