@@ -24,9 +24,12 @@ empty table gives files without rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -36,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promolens.llm.columns import whole_text
-from promolens.llm.packing import worker_encoder
+from promolens.llm.packing import LONG, MARKS, ChunkEncoder
 
 
 @dataclass(frozen=True)
 class TokenFiles:
     """``row_group_bytes``, ``page_bytes``, ``page_rows``: upper sizes; ``broadcast_parts``: files
     whose places in the stream are broadcast (24 bytes each), more meet the rows in a shuffle join;
-    ``remembered``: chunks, and words in them, kept per worker, about 250 bytes each."""
+    ``remembered``: words and marks kept per worker, and a quarter as many chunks, about 250 bytes each."""
 
     end_token: int = 2
     tokenizer: str = "word_bpe_49k.json"
@@ -51,7 +54,7 @@ class TokenFiles:
     page_bytes: int = 256 << 10
     page_rows: int = 2_000
     broadcast_parts: int = 200_000
-    remembered: int = 250_000
+    remembered: int = 300_000
     texts_per_batch: int = 256
 
     def options(self) -> dict[str, str]:
@@ -62,11 +65,63 @@ class TokenFiles:
                 "parquet.page.row.count.limit": str(self.page_rows),
                 "parquet.enable.dictionary": "false",
                 "parquet.enable.dictionary#ids.list.element": "true",
-                "compression": "zstd"}
+                "compression": "snappy"}
 
 
 #: Files whose sums are added up in one window of the second level.
 PER_CHUNK = 4096
+#: Letters of byte-level models for the bytes 0 to 255: printable ones as they are, the others from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OTHERS = [b for b in range(256) if b not in PRINTED]
+SPELLED = {b: 256 + i for i, b in enumerate(OTHERS)}
+
+
+#: Letters that are one letter in lower case and stay as they are in normal form C.
+LETTERS = "a-zß-öø-ÿ"
+#: A text of such letters, ASCII digits, white space and marks.
+PLAIN = re.compile(f"[A-ZÀ-ÖØ-Þ{LETTERS}0-9 \\t-\\r'{re.escape(MARKS)}]*").fullmatch
+#: What the pre-tokeniser parts such a text into: contractions, runs of letters, single digits, runs of marks.
+PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|['{re.escape(MARKS)}]+").findall
+
+
+class Parts(dict):
+    """Ids of lower-cased words and runs of marks as little-endian bytes; holds up to ``limit``."""
+
+    def __init__(self, model, limit: int) -> None:
+        super().__init__()
+        self.model, self.limit = model, limit
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(SPELLED)
+        ids = array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
+        if len(part) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class TextEncoder(ChunkEncoder):
+    """Ids of texts as little-endian bytes.
+
+    A plain text is parted as the pre-tokeniser does, and its parts go to the
+    library's model; any other text goes on in chunks between white space.
+    """
+
+    def __init__(self, path: str, limit: int) -> None:
+        super().__init__(path, limit // 4)
+        self.parts = Parts(self.model, limit)
+
+    def encode(self, text: str) -> bytes:
+        if PLAIN(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, PARTS(text.lower())))
+        return super().encode(text)
+
+
+@cache
+def worker_encoder(path: str, limit: int) -> TextEncoder:
+    """The encoder of this worker process; what it remembers serves all its tasks."""
+    return TextEncoder(path, limit)
 
 
 def encoded(docs: DataFrame, config: TokenFiles, key: str, text: str) -> DataFrame:

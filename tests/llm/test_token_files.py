@@ -1,6 +1,7 @@
 """Token files: ids as the library gives them, order, places, layout and reads in part."""
 
 import glob
+import random
 import tempfile
 import zlib
 from contextlib import contextmanager
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from promolens.llm.queries import op11_token_files
-from promolens.llm.token_files import TokenFiles, read_tokens, read_window, with_crc, write_tokens
+from promolens.llm.token_files import TextEncoder, TokenFiles, read_tokens, read_window, with_crc, write_tokens
 
 SMALL = TokenFiles(page_rows=20, row_group_bytes=1 << 14, page_bytes=1 << 10)
 
@@ -35,9 +36,11 @@ def _many_files(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _ids(texts):
-    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    return [LIBRARY.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
 def _want(rows):
@@ -113,6 +116,16 @@ def test_odd_rows(spark, rows):
     assert all(r.meta.part == 2 and r.meta.ids == 3 for r in got)
 
 
+def test_texts_in_parts_equal_the_library():
+    encoder = TextEncoder(public_tokenizers.path("word_bpe_49k.json"), 50)
+    rng = random.Random(1)
+    bits = ["'s", "'t", "'ll", "'", "''", "!'s", "don't", "x", "É", "ß", "ẞ", "ñ", "12", "...", "—", "<", "|>", "a1b",
+            " ", "\n", "\x0b", "\t ", "\x1c", "\x85", "ÿ", "Œ", "º", "²", "_", "\u0301", "S", "<|endoftext|>", "y" * 120]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert encoder.encode(text) == np.array(_ids([text])[0][:-1], "<u4").tobytes(), repr(text)
+
+
 def test_a_hot_key_fills_several_files(spark):
     docs = spark.range(4000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"),
                                     F.lit("the same text").alias("text")).repartition(8)
