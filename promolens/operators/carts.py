@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from promolens.functions import cart_value_bucket, slot_of
 from promolens.operators.joins import split_join
@@ -56,6 +57,44 @@ def repeat_carts(carts: DataFrame, prior: DataFrame, lookback_days: int = 90) ->
             .select("dt", "cart_id").distinct())
 
 
+def order_days(orders: DataFrame, start: date, end: date, lookback_days: int = 90,
+               vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Per customer and store the days with completed orders, lookback included, as one array.
+
+    Days fold before the one shuffle, and an array has at most one entry per
+    calendar day of the window, however often a customer orders.
+    """
+    kept = eligible_orders(orders, start - timedelta(days=lookback_days), end,
+                           completed_only=True, vocab=vocab)
+    return (kept.where(F.col("customer_id").isNotNull() & F.col("store_id").isNotNull())
+            .groupBy("customer_id", "store_id")
+            .agg(F.collect_set("dt").alias("order_days")))
+
+
+def flag_repeats(grain: DataFrame, days: DataFrame, lookback_days: int = 90,
+                 vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Cart rows with the repeat/new label of their (dt, cart); rows without a cart id go.
+
+    Equal to ``with_repeat_flag`` over ``repeat_carts``, but the carts are read
+    once: each row meets the array of its customer and store in an equi join
+    that adds no rows and whose hot pairs Spark can split, looks its days up
+    there, and a window spreads the answer over the cart, as one repeat
+    customer marks all its rows. ``grain`` should be folded by then
+    (``cart_grain``), since the rows of one cart and day meet in one task.
+    """
+    def before(day: Column) -> Column:
+        return (day < F.col("dt")) & (day >= F.date_add("dt", -lookback_days))
+
+    known = split_join(grain.where(F.col("cart_id").isNotNull()), days,
+                       ["customer_id", "store_id"], "left")
+    cart = Window.partitionBy("dt", "cart_id")
+    own = F.coalesce(F.exists("order_days", before), F.lit(False))
+    return (known.withColumn("_repeat", own).drop("order_days")
+            .withColumn("repeat_flag", F.when(F.max("_repeat").over(cart), vocab.repeat)
+                        .otherwise(vocab.new))
+            .drop("_repeat"))
+
+
 def with_repeat_flag(grain: DataFrame, repeats: DataFrame,
                      vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Cart rows with the repeat/new label of their (dt, cart); rows without a cart id go.
@@ -82,11 +121,27 @@ def pack_multiplicity(mapping: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("int").alias("copies")))
 
 
-def cart_funnel(carts: DataFrame, packs: DataFrame,
-                vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def matched_packs(carts: DataFrame, packs: DataFrame) -> DataFrame:
+    """Carts with their packs, by a join on the columns a bucketed mapping is dealt by.
+
+    Packs travel as one array per (date, store, segment, slot), at most the
+    pack rows of that choice, which each cart then filters by its repeat flag.
+    On a bucketed mapping both steps and the join keep its layout.
+    """
+    lookup = ["dt", "store_id", "customer_segment", "slot"]
+    choices = packs.groupBy(*lookup).agg(F.collect_list(
+        F.struct("repeat_flag", "pack_id", "copies")).alias("_packs"))
+    own = F.filter("_packs", lambda pack: pack["repeat_flag"] == F.col("repeat_flag"))
+    return (carts.join(choices, lookup).withColumn("_pack", F.explode(own))
+            .select("*", "_pack.pack_id", "_pack.copies").drop("_packs", "_pack"))
+
+
+def cart_funnel(carts: DataFrame, packs: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                bucketed: bool = False) -> DataFrame:
     """Distinct cart counts and sums per pack, segment, repeat flag, slot and value bucket.
 
-    ``carts`` carries the labels, ``packs`` comes from ``pack_multiplicity``.
+    ``carts`` carries the labels, ``packs`` comes from ``pack_multiplicity``;
+    ``bucketed`` says that its mapping is stored in buckets.
     Rows are first reduced to one per (group, cart) holding 0/1 marks, so the
     six distinct counts become six sums instead of six copies of every row.
     """
@@ -101,7 +156,8 @@ def cart_funnel(carts: DataFrame, packs: DataFrame,
     def value(name, alias):
         return F.sum(F.when(coupon, F.col(name) * F.col("copies"))).alias(alias)
 
-    matched = carts.join(packs, ["dt", "store_id", "customer_segment", "repeat_flag", "slot"])
+    matched = matched_packs(carts, packs) if bucketed else carts.join(
+        packs, ["dt", "store_id", "customer_segment", "repeat_flag", "slot"])
     per_cart = matched.groupBy(*group, "cart_id").agg(
         mark(placed, "order_carts"),
         mark(coupon, "coupon_carts"), mark(coupon & placed, "coupon_order_carts"),

@@ -20,6 +20,12 @@ from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 _CHOICE = ["run_date", "store_id", "segment", "slot", "pack_id"]
 
 
+def window_runs(frames: Frames, params: ReportParams) -> DataFrame:
+    """Runs of the report window: documents of other days are neither parsed nor staged."""
+    return frames.campaign_state.where(
+        F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
+
+
 def pack_stores(mapping: DataFrame, params: ReportParams) -> DataFrame:
     """Distinct (dt, store) of a mapping in the report window."""
     window = mapping.where(F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
@@ -76,7 +82,7 @@ def efficiency(frames: Frames, params: ReportParams, vocab: Vocabulary = DEFAULT
     the documents are parsed once.
     """
     if mapping is None:
-        mapping = staged(packs.pack_identities(frames.campaign_state, params.state_from,
+        mapping = staged(packs.pack_identities(window_runs(frames, params), params.state_from,
                                                keys=_CHOICE))
     metrics = slot_metrics(frames, params, vocab, pack_stores(mapping, params))
     return efficiency_for(mapping, metrics, params, vocab=vocab)
@@ -87,7 +93,7 @@ def efficiency_by_variant(frames: Frames, params: ReportParams,
                           mapping: DataFrame | None = None) -> DataFrame:
     """As ``efficiency``, also by the campaign's experiment variant."""
     if mapping is None:
-        mapping = staged(packs.pack_identities(frames.campaign_state, params.state_from,
+        mapping = staged(packs.pack_identities(window_runs(frames, params), params.state_from,
                                                latest_variant(frames.assignments),
                                                ["campaign_id", *_CHOICE]))
     metrics = slot_metrics(frames, params, vocab, pack_stores(mapping, params))

@@ -15,30 +15,28 @@ from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 def labelled_carts(frames: Frames, params: ReportParams,
                    vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Cart rows with segment (no overrides) and repeat flag."""
-    kept = carts.carts_between(frames.carts, params.start, params.end)
-    repeats = carts.repeat_carts(
-        kept, carts.prior_orders(frames.orders, params.start, params.end, params.lookback_days,
-                                 vocab), params.lookback_days)
+    """Cart rows with segment (no overrides) and repeat flag; the carts are read once."""
     grain = carts.cart_grain(frames.carts, params.start, params.end, vocab)
+    days = carts.order_days(frames.orders, params.start, params.end, params.lookback_days, vocab)
     labels = segments.customer_segments(frames.customer_tiers, params.month, vocab=vocab)
-    return segments.with_month_segment(carts.with_repeat_flag(grain, repeats, vocab),
-                                       labels.distinct(), vocab)
+    return segments.with_month_segment(
+        carts.flag_repeats(grain, days, params.lookback_days, vocab), labels.distinct(), vocab)
 
 
 def cart_funnel_by_pack(frames: Frames, params: ReportParams,
                         vocab: Vocabulary = DEFAULT_VOCABULARY,
-                        mapping: DataFrame | None = None) -> DataFrame:
+                        mapping: DataFrame | None = None, bucketed: bool = False) -> DataFrame:
     """Funnel per (store, pack, segment, repeat flag, slot, value bucket).
 
-    ``mapping`` may be a stored pack mapping. Sums count a cart once per
+    ``mapping`` may be a stored pack mapping, and ``bucketed`` says that
+    ``write_bucketed_mapping`` stored it. Sums count a cart once per
     mapping row of its pack; the cart counts are distinct.
     """
     if mapping is None:
         mapping = packs.pack_identities(frames.campaign_state, params.state_from)
     window = mapping.where(F.col("run_date").between(F.lit(params.start), F.lit(params.end)))
     funnel = carts.cart_funnel(labelled_carts(frames, params, vocab),
-                               carts.pack_multiplicity(window), vocab)
+                               carts.pack_multiplicity(window), vocab, bucketed)
     return orders.money_as_double(
         funnel.withColumn("tier", pack_part(F.col("pack_id"), 0))
         .withColumn("mode_part", pack_part(F.col("pack_id"), 1)))

@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What all reports look packs up by; a bucketed mapping is dealt by it.
+LOOKUP = ("run_date", "store_id", "segment", "slot")
+
+
+def write_bucketed_mapping(mapping: DataFrame, table: str, buckets: int, path: str | None = None,
+                           fmt: str = "parquet") -> None:
+    """Replace the stored pack mapping by a table bucketed and sorted by ``LOOKUP``.
+
+    Reports that look packs up by these columns then read each bucket where
+    the join needs it: the mapping is shuffled once, when it is written, and
+    not by its readers. ``buckets`` should be no less than the session's
+    shuffle partitions, or Spark shuffles the mapping after all. Dates are the
+    first sort column instead of folders, so a date window skips row groups.
+    With a ``path`` the files lie there.
+    """
+    laid_out = mapping.repartition(buckets, *LOOKUP).sortWithinPartitions(*LOOKUP)
+    writer = laid_out.write.mode("overwrite").format(fmt).bucketBy(buckets, *LOOKUP).sortBy(*LOOKUP)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def write_pack_mapping(mapping: DataFrame, table: str | None = None, path: str | None = None,
                        fmt: str = "parquet", files_per_date: int = 8,
                        only_dates: bool = False) -> None:

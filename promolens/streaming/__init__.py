@@ -1,5 +1,14 @@
-"""The change logs and offer lines as streams."""
+"""The change logs, offer lines and orders as streams."""
 
-from promolens.streaming.states import drain, hourly_discounts, latest_state, newest_updates
+from promolens.streaming.states import (
+    drain,
+    drain_rows,
+    hourly_discounts,
+    latest_state,
+    lines_with_orders,
+    newest_updates,
+    order_sums,
+)
 
-__all__ = ["drain", "hourly_discounts", "latest_state", "newest_updates"]
+__all__ = ["drain", "drain_rows", "hourly_discounts", "latest_state", "lines_with_orders",
+           "newest_updates", "order_sums"]

@@ -193,8 +193,8 @@ def _store(key: str) -> str:
     return f"{key} div {2 * DAYS} % 100"
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise(table(spark, sf_dir, "orders"), "orders", {
+def orders(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return normalise(table(spark, sf_dir, "orders", stream), "orders", {
         "dt": _day("o_orderkey"),
         "order_id": "o_orderkey",
         "customer_id": "o_custkey",

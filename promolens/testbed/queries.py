@@ -27,8 +27,16 @@ from promolens.plans.discounts import month_segments, with_offer_mark
 from promolens.plans.efficiency import slot_metrics
 from promolens.plans.funnels import labelled_carts
 from promolens.session import use_shared_checkpoints
-from promolens.sources import write_pack_mapping
-from promolens.streaming import drain, hourly_discounts, latest_state, newest_updates
+from promolens.sources import publish_view, write_bucketed_mapping, write_pack_mapping
+from promolens.streaming import (
+    drain,
+    drain_rows,
+    hourly_discounts,
+    latest_state,
+    lines_with_orders,
+    newest_updates,
+    order_sums,
+)
 from promolens.testbed.bindings import (
     FUNNEL_PARAMS,
     LISTED_PARAMS,
@@ -41,6 +49,7 @@ from promolens.testbed.bindings import (
     campaign_events,
     offer_lines,
 )
+from promolens.testbed.bindings import orders as order_facts
 from promolens.vocabulary import DEFAULT_VOCABULARY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,17 +415,34 @@ def pack_mapping_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.drop("variant").withColumn("run_ts", F.unix_micros("run_ts"))
 
 
+def _bucketed_mapping(spark: SparkSession, f: BoundFrames) -> DataFrame:
+    """The pack mapping as a bucketed table whose files lie in the scratch folder."""
+    name = f"pack_mapping_{uuid.uuid4().hex}"
+    write_bucketed_mapping(packs.pack_mapping(f.campaign_state, PARAMS.state_from), name,
+                           int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           f"{_scratch(spark)}/mapping")
+    return spark.table(name)
+
+
 def report_cart_funnel_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = BoundFrames(spark, sf_dir)
-    return plans.cart_funnel_by_pack(f, PARAMS, mapping=_stored_mapping(spark, f))
+    return plans.cart_funnel_by_pack(f, PARAMS, mapping=_bucketed_mapping(spark, f), bucketed=True)
 
 
 def report_efficiency_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = BoundFrames(spark, sf_dir)
-    return plans.efficiency(f, PARAMS, mapping=_stored_mapping(spark, f))
+    return plans.efficiency(f, PARAMS, mapping=_bucketed_mapping(spark, f))
+
 
+def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs per day and segment, asked of a published view in SQL."""
+    name = f"packs_{uuid.uuid4().hex}"
+    publish_view(packs.pack_mapping(BoundFrames(spark, sf_dir).campaign_state, PARAMS.state_from), name)
+    return spark.sql(f"SELECT run_date, segment, count(*) AS packs FROM {name} GROUP BY ALL")
 
-for _query in (pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored):
+
+for _query in (pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored,
+               published_view):
     QUERIES[_query.__name__] = _query
 
 
@@ -432,7 +458,8 @@ def stream_latest_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark)
     log = campaign_events(spark, sf_dir, stream=True).select(
         "campaign_id", "event_id", "dt", "hr", "updated_at", "campaign_status")
-    drain(latest_state(log, ["campaign_id"], ["dt", "hr", "updated_at", "event_id"]), folder)
+    drain(latest_state(log, ["campaign_id"], ["dt", "hr", "updated_at", "event_id"]), folder,
+          ["campaign_id"])
     return newest_updates(spark, folder, ["campaign_id"])
 
 
@@ -441,10 +468,25 @@ def stream_hourly_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark)
     lines = orders.eligible_lines(offer_lines(spark, sf_dir, stream=True), PARAMS.start,
                                   PARAMS.end)
-    drain(hourly_discounts(lines, "60 days"), folder)
-    return orders.money_as_double(newest_updates(spark, folder, ["dt", "hr", "store_id"]))
+    keys = ["dt", "hr", "store_id"]
+    drain(hourly_discounts(lines, "60 days"), folder, keys)
+    return orders.money_as_double(newest_updates(spark, folder, keys))
+
+
+def stream_order_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and orders meet as streams, then sum up per order as a second stream."""
+    folder = _scratch(spark)
+    lines = orders.eligible_lines(offer_lines(spark, sf_dir, stream=True), PARAMS.start, PARAMS.end)
+    placed = orders.eligible_orders(order_facts(spark, sf_dir, stream=True), PARAMS.start, PARAMS.end)
+    drain_rows(lines_with_orders(lines, placed, "60 days"), f"{folder}/pairs")
+    stored = f"{folder}/pairs/rows"
+    pairs = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
+    keys = ["dt", "order_id", "store_id", "gmv", "customer_id"]
+    drain(order_sums(pairs, "121 days"), f"{folder}/grain", keys)
+    return orders.money_as_double(newest_updates(spark, f"{folder}/grain", keys))
 
 
+QUERIES["stream_order_grain"] = stream_order_grain
 QUERIES["stream_latest_campaigns"] = stream_latest_campaigns
 QUERIES["stream_hourly_discounts"] = stream_hourly_discounts
 

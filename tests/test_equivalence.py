@@ -63,6 +63,10 @@ def test_repeat_flag_is_the_range_join(spark, lookback):
             GROUP BY c.dt, c.cart_id)
         WHERE seen = 1""")
     assert rows(carts.repeat_carts(visits, prior, lookback)) == rows(direct)
+    days = prior.groupBy("customer_id", "store_id").agg(F.collect_set("order_dt").alias("order_days"))
+    flagged = carts.flag_repeats(visits, days, lookback)
+    assert rows(flagged) == rows(carts.with_repeat_flag(visits, carts.repeat_carts(
+        visits, prior, lookback)).select(*flagged.columns))
 
 
 def test_funnel_is_six_distinct_counts(spark):

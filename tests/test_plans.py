@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 from contextlib import contextmanager
+from dataclasses import replace
 from datetime import date
 
 import pytest
 
 from __spark_entry__ import queries
+from promolens import plans
 from promolens.operators import carts, orders
 from promolens.operators.campaigns import campaign_snapshot, live_stores
 from promolens.operators.cdc import date_spine, latest_per_key
-from promolens.operators.packs import explode_context
-from promolens.sources import read_frame
+from promolens.operators.packs import explode_context, pack_identities, pack_mapping
+from promolens.plans.efficiency import efficiency, efficiency_for, slot_metrics, window_runs
+from promolens.sources import Frames, read_frame, write_bucketed_mapping
 from promolens.testbed.bindings import PARAMS, BoundFrames
 from tests.builders import frame
 
@@ -75,6 +78,60 @@ def test_repeat_carts_is_a_semi_join(spark, bound):
     assert "LeftSemi" in text
 
 
+def test_the_funnel_reads_the_carts_once(spark, bound, tmp_path):
+    bound.carts.write.parquet(str(tmp_path / "visited"))
+    frames = Frames(carts=spark.read.parquet(str(tmp_path / "visited")), orders=bound.orders,
+                    customer_tiers=bound.customer_tiers, campaign_state=bound.campaign_state)
+    with without_broadcast(spark):
+        text = plan(plans.cart_funnel_by_pack(frames, PARAMS))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*cart_id#", text)) == 1
+    assert text.count("Exchange hashpartitioning") < 16
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, bound):
+    write_bucketed_mapping(pack_mapping(bound.campaign_state, PARAMS.state_from),
+                           "bucketed_mapping_of_test", 8)
+    return spark.table("bucketed_mapping_of_test")
+
+
+def below(text: str, join: str) -> list[str]:
+    """The lines of the plan below the first ``join`` that leads to the bucketed scan by no exchange."""
+    lines = text.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "bucketed_mapping_of_test" in line)
+    depth, path = len(lines[scan]), []
+    for line in reversed(lines[:scan]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            path.append(line)
+            depth = indent
+        if join in line and path and path[-1] == line:
+            break
+    return path
+
+
+@pytest.mark.parametrize("report", ["funnel", "efficiency"])
+def test_a_bucketed_mapping_is_joined_where_it_lies(spark, bound, bucketed, report):
+    with without_broadcast(spark):
+        made = (plans.cart_funnel_by_pack(bound, PARAMS, mapping=bucketed, bucketed=True)
+                if report == "funnel" else
+                efficiency_for(bucketed, slot_metrics(bound, PARAMS), PARAMS))
+        path = below(plan(made), "SortMergeJoin")
+        assert "SortMergeJoin" in path[-1]
+        assert not any("Exchange" in line for line in path)
+        assert made.count() > 0
+
+
+def test_documents_outside_the_window_are_not_staged(spark, bound, tmp_path):
+    week = replace(PARAMS, start=date(2024, 1, 10), end=date(2024, 1, 16))
+    bound.campaign_state.write.parquet(str(tmp_path / "runs"))
+    stored = Frames(campaign_state=spark.read.parquet(str(tmp_path / "runs")))
+    with settings(spark, spark__sql__maxMetadataStringLength="5000"):
+        runs = plan(pack_identities(window_runs(stored, week), week.state_from))
+    assert "LessThanOrEqual(run_date,2024-01-16)" in runs
+    assert efficiency(bound, week).where("run_date < date'2024-01-10' or run_date > date'2024-01-16'").count() == 0
+
+
 def test_metrics_after_the_order_join_shuffle_once(spark, bound):
     """Lines twice, orders once, then one exchange for the final sums."""
     with without_broadcast(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,27 @@ def test_hot_cart_and_hot_customer_at_one_store(spark, customer):
     assert rows(repeats) == rows(direct)
 
 
+@pytest.mark.parametrize("customer", ["1", "null"])
+def test_hot_customer_at_one_store_is_flagged_in_one_pass(spark, customer):
+    """A third of the carts is of one customer, who also ordered a third of the orders."""
+    grain = spark.range(0, N, 1, 8).select(
+        day(), F.col("id").alias("cart_id"), hot("customer_id", customer, 500),
+        F.lit("0").alias("store_id"))
+    facts = spark.range(0, N, 1, 8).select(
+        F.expr("date_add(date'2023-12-31', cast(id % 3 as int))").alias("dt"),
+        hot("customer_id", customer, 400), F.lit("0").alias("store_id"),
+        F.lit(0).alias("excluded_flag"), F.lit(0).alias("ignore_flag"),
+        F.lit("Completed").alias("post_status"))
+    days = carts.order_days(facts, date(2024, 1, 1), date(2024, 1, 5), 3)
+    assert days.agg(F.max(F.size("order_days"))).first()[0] <= 3
+    flagged = carts.flag_repeats(grain, days, 3)
+    assert split(flagged)
+    prior = carts.prior_orders(facts, date(2024, 1, 1), date(2024, 1, 5), 3)
+    assert rows(flagged.where("repeat_flag = 'RTR'"), "dt", "cart_id") == rows(
+        carts.repeat_carts(grain, prior, 3))
+    assert flagged.count() == N
+
+
 def test_hot_store_in_the_funnel(spark):
     labelled = spark.range(0, N, 1, 8).select(
         day(2), F.expr("if(id % 3 = 0, '0', cast(id % 50 as string))").alias("store_id"),
