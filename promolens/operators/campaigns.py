@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolens.functions import epoch_date, epoch_text
 from promolens.operators.cdc import asof_snapshot, latest_per_key
+from promolens.operators.validity import asof_versions, merge_versions
 from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 _TARGETS = {
@@ -62,30 +63,44 @@ def live_stores(log: DataFrame, as_of: datetime,
             .distinct())
 
 
-def campaign_snapshot(log: DataFrame, spine: DataFrame) -> DataFrame:
-    """Newest campaign version on each spine date, by update time."""
+def merge_campaign_versions(spark: SparkSession, path: str, log: DataFrame, buckets: int = 64) -> None:
+    """Bring the stored campaign versions up to date with new log rows."""
+    merge_versions(spark, path, log.withColumn("updated_dt", epoch_date(F.col("updated_at"))),
+                   ["campaign_id"], "updated_dt", ["updated_at", "event_id"], buckets)
+
+
+def campaign_snapshot(log: DataFrame | None, spine: DataFrame,
+                      versions: DataFrame | None = None) -> DataFrame:
+    """Newest campaign version on each spine date, by update time.
+
+    From the log, or from the ``versions`` that ``merge_campaign_versions`` stored.
+    """
+    if versions is not None:
+        return asof_versions(versions, spine, "updated_dt")
     dated = log.withColumn("updated_dt", epoch_date(F.col("updated_at")))
     return asof_snapshot(dated, spine, ["campaign_id"], "updated_dt", ["updated_at", "event_id"])
 
 
-def _running_snapshot(log: DataFrame, spine: DataFrame, vocab: Vocabulary) -> DataFrame:
+def _running_snapshot(log: DataFrame | None, spine: DataFrame, vocab: Vocabulary,
+                      versions: DataFrame | None = None) -> DataFrame:
     """Running campaigns per spine date, without test stores.
 
     Status only: the start and end times are not looked at here. The first
     store decides whether a list is a test list, and an empty list is dropped.
     """
-    return campaign_snapshot(log, spine).where(
+    return campaign_snapshot(log, spine, versions).where(
         running(vocab) & (F.get("store_ids", F.lit(0)) != vocab.test_store))
 
 
-def active_campaigns_asof(log: DataFrame, spine: DataFrame,
-                          vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def active_campaigns_asof(log: DataFrame | None, spine: DataFrame,
+                          vocab: Vocabulary = DEFAULT_VOCABULARY,
+                          versions: DataFrame | None = None) -> DataFrame:
     """Distinct (date, campaign, store) rows with the campaign's attributes.
 
     A snapshot holds a campaign once per date, so repeats can only come from
     repeats inside ``store_ids``; dropping those spares a shuffle of wide rows.
     """
-    return (_running_snapshot(log, spine, vocab)
+    return (_running_snapshot(log, spine, vocab, versions)
             .withColumn("store_id", F.explode_outer(F.array_distinct("store_ids")))
             .select("as_of_dt", "campaign_id", "store_ids", "store_id",
                     F.array_size("store_ids").alias("store_count"),
@@ -100,10 +115,11 @@ def active_campaigns_asof(log: DataFrame, spine: DataFrame,
                     "campaign_status", "consent_status", "smart_discount_enabled"))
 
 
-def stores_asof(log: DataFrame, spine: DataFrame,
-                vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def stores_asof(log: DataFrame | None, spine: DataFrame,
+                vocab: Vocabulary = DEFAULT_VOCABULARY,
+                versions: DataFrame | None = None) -> DataFrame:
     """Distinct (date, store, campaign) of running campaigns."""
-    return _running_snapshot(log, spine, vocab).select(
+    return _running_snapshot(log, spine, vocab, versions).select(
         "as_of_dt", "campaign_id",
         F.explode(F.array_distinct("store_ids")).alias("store_id"))
 

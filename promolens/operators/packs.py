@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promolens.functions import pack_mode, pack_part
 from promolens.operators.cdc import latest_per_key
@@ -19,6 +20,22 @@ PACK_KEYS = ("campaign_id", "run_date", "store_id", "segment", "store_seg", "pac
              "emit_segment")
 
 
+def parsed_runs(state: DataFrame) -> DataFrame:
+    """Runs with their documents as VARIANT, to be stored and read instead of the log's text.
+
+    A document is then parsed once, when it is stored, whatever reads it
+    later. Malformed documents become NULL and yield no rows, as before.
+    """
+    return state.withColumn("campaign_context", F.try_parse_json("campaign_context"))
+
+
+def _document(state: DataFrame) -> Column:
+    """The document as a struct, from its text or from the stored VARIANT."""
+    if isinstance(state.schema["campaign_context"].dataType, T.VariantType):
+        return F.try_variant_get("campaign_context", "$", CONTEXT.simpleString())
+    return F.from_json("campaign_context", CONTEXT)
+
+
 def explode_context(state: DataFrame, from_date: date | None = None) -> DataFrame:
     """One row per run, store and pack selection of the JSON documents.
 
@@ -33,7 +50,7 @@ def explode_context(state: DataFrame, from_date: date | None = None) -> DataFram
     # carry its whole document. The outer explode yields a NULL store for a
     # document without stores, which the next explode drops; a plain one
     # would have Spark parse each document again to test it for stores.
-    documents = kept.select(*run, F.from_json("campaign_context", CONTEXT).alias("ctx"))
+    documents = kept.select(*run, _document(kept).alias("ctx"))
     stores = (documents.select(*run, F.col("ctx.burn").alias("burn"),
                                F.col("ctx.stores").alias("stores"))
               .select(*run, "burn", F.explode_outer("stores").alias("store")))

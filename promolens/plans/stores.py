@@ -13,14 +13,18 @@ from promolens.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 
 def active_by_day(frames: Frames, params: ReportParams,
-                  vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+                  vocab: Vocabulary = DEFAULT_VOCABULARY,
+                  versions: DataFrame | None = None) -> DataFrame:
     """Campaigns running on each date that has orders, newest date first.
 
+    ``versions`` may be stored campaign versions, which spare ranking the log.
+
     The sort goes on by campaign and store: a date alone has too few values
     to spread a sorted result over many tasks.
     """
     spine = date_spine(frames.live_orders, params.dates, params.start, params.end)
-    rows = campaigns.active_campaigns_asof(frames.campaign_events, spine, vocab)
+    log = frames.campaign_events if versions is None else None
+    rows = campaigns.active_campaigns_asof(log, spine, vocab, versions)
     return rows.orderBy(F.desc("as_of_dt"), "campaign_id", "store_id")
 
 

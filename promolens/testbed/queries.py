@@ -23,6 +23,7 @@ from promolens.functions import (
 from promolens.operators import campaigns, carts, offers, orders, packs, rollup, segments
 from promolens.operators.cdc import date_spine, latest_per_key
 from promolens.operators.experiments import distinct_variants, latest_variant
+from promolens.operators.validity import stored_versions
 from promolens.plans.discounts import month_segments, with_offer_mark
 from promolens.plans.efficiency import slot_metrics
 from promolens.plans.funnels import labelled_carts
@@ -441,8 +442,37 @@ def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT run_date, segment, count(*) AS packs FROM {name} GROUP BY ALL")
 
 
+def json_context_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log's documents from their stored, parsed form."""
+    path = f"{_scratch(spark)}/runs"
+    packs.parsed_runs(BoundFrames(spark, sf_dir).campaign_state).write.parquet(path)
+    return packs.explode_context(spark.read.parquet(path)).drop("run_ts")
+
+
+def _campaign_versions(spark: SparkSession, f: BoundFrames) -> DataFrame:
+    """Validity intervals of the campaign log, which arrives in three parts."""
+    path = f"{_scratch(spark)}/versions"
+    third = F.when(F.col("dt") < "2024-01-11", 0).when(F.col("dt") < "2024-01-21", 1).otherwise(2)
+    for part in range(3):
+        campaigns.merge_campaign_versions(spark, path, f.campaign_events.where(third == part))
+    return stored_versions(spark, path)
+
+
+def campaign_asof_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = BoundFrames(spark, sf_dir)
+    return campaigns.campaign_snapshot(None, _spine(f), _campaign_versions(spark, f)).select(
+        "as_of_dt", "campaign_id", "event_id", "updated_dt")
+
+
+def report_active_by_day_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = BoundFrames(spark, sf_dir)
+    report = plans.active_by_day(f, PARAMS, versions=_campaign_versions(spark, f))
+    return report.withColumn("store_ids", _joined_list("store_ids"))
+
+
 for _query in (pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored,
-               published_view):
+               published_view, json_context_stored, campaign_asof_versions,
+               report_active_by_day_stored):
     QUERIES[_query.__name__] = _query
 
 
