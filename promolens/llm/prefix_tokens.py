@@ -81,7 +81,7 @@ class PrefixCounter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])
                                   or r"(?!)")
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.runs = regex.compile(r"\s{2,}(?=\S)")
+        self.runs = regex.compile(r"\s{2,}")
         self.limit = remembered
         self.known: dict[str, bytes] = {}
         self.beside: dict[int, bool] = {}
@@ -195,6 +195,8 @@ class PrefixCounter:
         # A prefix that ends with white space has all of that run in one pre-token.
         for run in self.runs.finditer(text) if re.search(r"\s\s", text) else ():
             start, end = run.span()
+            if end == len(text):  # it ends the text, so it is one pre-token there, too
+                break
             whole = np.frombuffer(steps(run[0]), dtype=np.int8)
             out[start + 1:end + 1] = out[start] + np.cumsum(whole)
         return out

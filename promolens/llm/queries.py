@@ -33,7 +33,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs, keep_text=False).select("doc_id", "near.*")
+    return simhash.near_duplicates(docs, keep_text=False).select(
+        "doc_id", "near.fingerprint", "near.component_id")
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from promolens.session import use_shared_checkpoints
 
 
-#: Folders that exist, by the checkpoint folder they lie in.
-_made: list[str] = []
+#: Folders made since the innermost ``owned`` of this thread began.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """Collects the folders made inside; what is still there at the end goes to the one around."""
+    around, made = _owner.get(), []
+    before = _owner.set(made)
+    try:
+        yield made
+    finally:
+        _owner.reset(before)
+        if around is not None:
+            around += made
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -19,7 +35,9 @@ def folder(spark: SparkSession, name: str) -> str:
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     target, files = _files(spark, path)
     files.deleteOnExit(target)
-    _made.append(path)
+    made = _owner.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -35,23 +53,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def mark() -> int:
-    """A point in time for ``release``."""
-    return len(_made)
-
-
-def release(spark: SparkSession, since: int = 0, unless: DataFrame | None = None) -> None:
-    """Remove the folders made after ``since``, but for those that ``unless`` reads.
+def release(spark: SparkSession, made: list[str], unless: DataFrame | None = None) -> None:
+    """Remove the folders ``made`` names and forget them, but for those that ``unless`` reads.
 
-    Only for tables whose results are written elsewhere by now.
+    Only for folders of one's own whose results are written elsewhere by now.
     """
     read = unless.inputFiles() if unless is not None else []
-    for path in _made[since:]:
+    for path in list(made):
         name = path.rsplit("/", 1)[-1]
         if not any(f"/{name}/" in file for file in read):
             target, files = _files(spark, path)
             files.delete(target, True)
-            _made.remove(path)
+            made.remove(path)
 
 
 def _files(spark: SparkSession, path: str):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.llm.columns import whole_text
-from promolens.llm.scratch import mark, release, table
+from promolens.llm.scratch import owned, release, table
 from promolens.operators.joins import broadcast_if_small
 
 BITS = 64
@@ -158,38 +158,41 @@ def links(fingerprints: DataFrame, config: Near = Near()) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(fp, root): for each linked fingerprint the smallest one it is connected with."""
-    start = mark()
-    edges = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                  .distinct(), "links")
-    before = None
-    while True:
-        # Large star: larger neighbours of a node are linked to its smallest neighbour.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
-        large = (both.filter("v > u").join(least, F.col("u") == F.col("w"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-        # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = (large.join(least, F.col("u") == F.col("w"))
-                 .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))
-                         .alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-                 .filter("u != v").distinct())
-        edges = table(small, "stars")
-        release(edges.sparkSession, start, unless=edges)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-        before = state
+    with owned() as made:
+        edges = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                      .distinct(), "links")
+        before = None
+        while True:
+            # Large star: larger neighbours of a node are linked to its smallest neighbour.
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
+            large = (both.filter("v > u").join(least, F.col("u") == F.col("w"))
+                     .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+            # Small star: a node and its smaller neighbours are linked to the smallest of them.
+            least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+            small = (large.join(least, F.col("u") == F.col("w"))
+                     .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))
+                             .alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+                     .filter("u != v").distinct())
+            edges = table(small, "stars")
+            release(edges.sparkSession, made, unless=edges)
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            before = state
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     into: str = "near", keep_text: bool = True,
                     config: Near = Near()) -> DataFrame:
-    """``docs`` with the struct ``into`` (fingerprint, component_id); every row comes back.
+    """``docs`` with the struct ``into`` (fingerprint, component_id, group); every row comes back.
+
+    ``group`` is the smallest fingerprint of the row's group, which tells groups
+    apart also where rows of two groups share an id.
 
     Fingerprints are computed once and staged with the other columns. Groups
     of more than one row are counted and broadcast up to ``broadcast_rows``
-    (24 bytes each); beyond that they are joined by shuffle.
+    (32 bytes each); beyond that they are joined by shuffle.
     """
     others = [c for c in docs.columns if c != into and (keep_text or c != text)]
     rows = table(docs.select(*[f"`{c}`" for c in others],
@@ -200,13 +203,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # The smallest fingerprint of a group is no link's larger end, so it joins by its own name.
     members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     lone = nodes.filter("n > 1").select("fp", "least").join(members, "fp", "left_anti") \
-        .select("fp", F.col("least").alias("component"))
+        .select("fp", F.col("least").alias("component"), F.col("fp").alias("root"))
     grouped = members.join(nodes, "fp")
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    groups = broadcast_if_small(grouped.join(named, "root").select("fp", "component")
-                                .unionByName(lone).toDF("_fp", "_component"),
+    groups = broadcast_if_small(grouped.join(named, "root").select("fp", "component", "root")
+                                .unionByName(lone).toDF("_fp", "_component", "_root"),
                                 config.broadcast_rows)
     found = rows.join(groups, "_fp", "left")
+
+    def digits(value: Column) -> Column:
+        return F.lower(F.lpad(F.hex(value), 16, "0"))
+
     return found.select(*[f"`{c}`" for c in others], F.struct(
-        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        F.coalesce("_component", F.col(key)).alias("component_id")).alias(into))
+        digits(F.col("_fp")).alias("fingerprint"),
+        F.coalesce("_component", F.col(key)).alias("component_id"),
+        digits(F.coalesce("_root", "_fp")).alias("group")).alias(into))

@@ -39,5 +39,27 @@ def test_stages(spark, sf_dir):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_results_that_others_hold_stay_readable(spark, sf_dir):
+    """A stage removes what the stage before it staged, and nothing else."""
+    from promolens.llm import secrets
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = secrets.secret_spans(docs.select("doc_id", "text"))
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        stage(spark, docs, sf_dir).write.format("noop").mode("overwrite").save()
+    assert held.count() == docs.count()
+
+
+def test_rows_that_share_an_id_keep_unlinked_texts(spark, sf_dir):
+    one, two = ("alpha beta gamma delta epsilon zeta " * 5, "one two three four five six seven " * 5)
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (1, two, "en", "s", 1), (None, one + "x", "en", "s", 1),
+            (None, "quite another text of several words here", "en", "s", 1), (2, two, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()
+    linked = (brute.simhash(one) ^ brute.simhash(one + "x")).bit_count() <= 4
+    want = [(1, one), (1, two), (None, rows[4][1])] + ([] if linked else [(None, one + "x")])
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
