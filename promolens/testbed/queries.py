@@ -21,6 +21,7 @@ from promolens.functions import (
     tier_group,
 )
 from promolens.operators import campaigns, carts, offers, orders, packs, rollup, segments
+from promolens.operators.cart_sets import cart_set_counts, cart_sets, number_carts, stored_cart_numbers
 from promolens.operators.cdc import date_spine, latest_per_key
 from promolens.operators.experiments import distinct_variants, latest_variant
 from promolens.operators.validity import stored_versions
@@ -470,7 +471,21 @@ def report_active_by_day_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("store_ids", _joined_list("store_ids"))
 
 
-for _query in (pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored,
+def weekly_cart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct carts per week and store from stored daily sets, which arrive in two parts."""
+    f, folder = BoundFrames(spark, sf_dir), _scratch(spark)
+    early = F.col("dt") < "2024-01-18"
+    for part in (early, ~early):
+        some = f.carts.where(part)
+        number_carts(some, f"{folder}/numbers")
+        cart_sets(some, stored_cart_numbers(spark, f"{folder}/numbers"), ["dt", "store_id"]).write.mode(
+            "append").parquet(f"{folder}/sets")
+    sets = spark.read.parquet(f"{folder}/sets")
+    week = sets.withColumn("week", F.date_trunc("week", "dt").cast("date"))
+    return cart_set_counts(week, ["week", "store_id"])
+
+
+for _query in (weekly_cart_counts, pack_mapping_stored, report_cart_funnel_stored, report_efficiency_stored,
                published_view, json_context_stored, campaign_asof_versions,
                report_active_by_day_stored):
     QUERIES[_query.__name__] = _query
