@@ -3,9 +3,13 @@
 The lengths of all pieces form a histogram with at most ``capacity`` entries,
 the only thing the driver sees. Over it the configuration linear program
 (how often to use each multiset of lengths that fits one sequence) is solved by
-column generation: a basis of patterns prices the lengths, an unbounded knapsack
-by dynamic programming finds the dearest pattern, which enters the basis, until
-the program's value is within ``gap`` of a bound from the prices. The fractional
+multiplicative weights: a length's price falls by a factor with the share of it
+that is covered, an unbounded knapsack by dynamic programming prices the
+patterns, and those within ``slack`` of the dearest are used until the next
+share is covered. Its work is bounded by ``rounds`` knapsacks; what is uncovered
+then is covered longest first. A program of at most ``refined_lengths`` lengths
+that is not within ``gap`` of its bound is refined by column generation, of at
+most ``refined_steps`` steps. The fractional
 uses are rounded down, then up where pieces are still there, and only what is
 left is filled by best fit on the histogram, again a whole
 number of uses of one pattern at a time. Every piece then finds its place by its rank
@@ -45,8 +49,9 @@ from promolens.llm.scratch import table
 
 @dataclass(frozen=True)
 class Packing:
-    """``gap``: how far the linear program may end above its bound; ``rounds``: its pricing steps
-    in a row that may bring nothing; ``salts``: tasks that rank one length;
+    """``rounds``: knapsacks of the linear program at most; ``gap``: how far it may end above its
+    bound without refinement, and ``refined_lengths``, ``refined_steps`` what that may cost;
+    ``salts``: tasks that rank one length;
     ``remembered``: chunks, and words in them, kept per worker, about 250 bytes each."""
 
     capacity: int = 4096
@@ -54,6 +59,8 @@ class Packing:
     tokenizer: str = "word_bpe_49k.json"
     rounds: int = 300
     gap: float = 0.001
+    refined_lengths: int = 128
+    refined_steps: int = 1000
     salts: int = 64
     remembered: int = 250_000
     texts_per_batch: int = 256
@@ -161,16 +168,36 @@ def pieces(docs: DataFrame, config: Packing = Packing(), text: str = "text",
         *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], F.col("_piece").alias(into))
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths with a price, and per room the largest total price that fits."""
+#: Of the multiplicative weights: shares that a length is covered in, how fast its price falls with
+#: them, how far below the dearest a pattern may be, and how much dearer a token of a long length is.
+SHARES, FALL, SLACK, LONGER = 10, 5.0, 0.01, 0.1
+
+
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths with a price; per room the largest total price that fits, and the length to take
+    there for it, the longest of several, or 0 to leave a token's room."""
     sizes = np.flatnonzero(prices > 0)
     value, best = prices[sizes], np.zeros(capacity + 1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    taken = np.zeros(capacity + 1, dtype=np.int64)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
-        if fits[room]:
-            best[room] = max(best[room], (best[room - sizes[:fits[room]]] + value[:fits[room]]).max())
-    return sizes, best
+        if fit := fits[room]:
+            total = best[room - sizes[:fit]] + value[:fit]
+            at = fit - 1 - int(total[::-1].argmax())
+            if total[at] > best[room]:
+                best[room], taken[room] = total[at], sizes[at]
+    return sizes, best, taken
+
+
+def through(size: int, taken: list[int]) -> dict[int, int]:
+    """The dearest pattern among those that hold ``size``."""
+    pattern, room = {size: 1}, len(taken) - 1 - size
+    while room > 0:
+        if other := taken[room]:
+            pattern[other] = pattern.get(other, 0) + 1
+        room -= other or 1
+    return pattern
 
 
 def dearest(sizes: np.ndarray, best: np.ndarray, value: np.ndarray, there: np.ndarray) -> dict[int, int]:
@@ -206,7 +233,7 @@ def fullest(need: np.ndarray, capacity: int) -> Iterator[dict[int, int]]:
     size = np.arange(len(need), dtype=float)
     while True:
         price = np.where(need > 0, size, 0.0)
-        sizes, best = knapsack(price, capacity)
+        sizes, best, _ = knapsack(price, capacity)
         pattern = dearest(sizes, best, price[sizes], need[sizes] > 0)
         while sum(l * n for l, n in pattern.items()) == best[-1]:
             yield pattern
@@ -245,45 +272,120 @@ def first_basis(counts: np.ndarray, capacity: int, patterns) -> tuple[list[dict[
     return [p for p, _ in basis.values()], np.array([u for _, u in basis.values()])
 
 
-def linear_program(counts: np.ndarray, capacity: int, rounds: int, gap: float
+def weighted(counts: np.ndarray, capacity: int, rounds: int, bound: float
+             ) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Patterns and uses by multiplicative weights, the counts they leave, and a lower bound.
+
+    All lengths are covered share by share. A length's price is about its size
+    times exp(-``FALL`` x its covered share), so what lags gets dear. Each round
+    prices once and uses, for every length that lacks its share, the dearest pattern through it if
+    that is within ``SLACK`` of the dearest of all; a round that hardly
+    moves doubles the slack of the next one. No count is covered twice.
+    """
+    lengths, need = np.flatnonzero(counts), counts.astype(float)
+    uses: dict[tuple, float] = {}
+    share, slack, least = 1, SLACK, 0.002 * bound
+    for _ in range(rounds):
+        covered = 1 - need[lengths] / counts[lengths]
+        while share <= SHARES and covered.min() >= share / SHARES - 1e-9:
+            share += 1
+        if share > SHARES:
+            break
+        price = np.zeros(len(counts))
+        price[lengths] = (lengths / capacity) ** (1 + LONGER) * np.exp(-FALL * (covered - covered.min()))
+        price[need <= 0] = 0
+        sizes, best, taken = knapsack(price, capacity)
+        if len(sizes) == len(lengths):
+            bound = max(bound, float((price * counts).sum()) / best[-1])
+        near = price[sizes] + best[capacity - sizes] >= (1 - slack) * best[-1]
+        pick, moved = taken.tolist(), 0.0
+        for size in sizes[near][::-1].tolist():
+            most = need[size] - (1 - share / SHARES) * counts[size]
+            if most <= 1e-9 * counts[size]:
+                continue
+            pattern = through(size, pick)
+            step = min(most / pattern[size], *(need[l] / n for l, n in pattern.items()))
+            if step <= 1e-12 * counts[size]:
+                continue
+            for l, n in pattern.items():
+                need[l] -= n * step
+                if need[l] <= 1e-9 * counts[l]:
+                    need[l] = 0
+            key = tuple(pattern.items())
+            uses[key] = uses.get(key, 0.0) + step
+            moved += step
+        slack = SLACK if moved > least else min(1.0, 2 * slack)
+    return [(dict(pattern), use) for pattern, use in uses.items()], need, bound
+
+
+def linear_program(counts: np.ndarray, capacity: int, rounds: int, gap: float,
+                   refined_lengths: int = Packing.refined_lengths, refined_steps: int = Packing.refined_steps
                    ) -> tuple[list[tuple[dict[int, int], float]], float]:
     """Patterns and fractional uses that cover every count, and a lower bound of their sum.
 
-    Column generation from the better of two bases: the basis prices the lengths, a
-    knapsack finds the dearest pattern, which enters the basis, until the sum
-    is within ``gap`` of the bound that the knapsack gives. Only ``rounds``
-    rounds in a row without any progress (a degenerate basis) end it earlier.
+    Multiplicative weights, what they leave longest first, and for few lengths column generation.
     """
-    lengths, bound = np.flatnonzero(counts), dual_bound(counts, capacity)
-    patterns, uses = first_basis(counts, capacity, fullest)
-    if uses.sum() > (1 + gap) * bound:
-        other = first_basis(counts, capacity, longest)
-        patterns, uses = min((patterns, uses), other, key=lambda basis: basis[1].sum())
+    uses, need, bound = weighted(counts, capacity, rounds, dual_bound(counts, capacity))
+    source = longest(need, capacity)
+    while need.any():
+        pattern = next(source)
+        step = min(need[l] / n for l, n in pattern.items())
+        for l, n in pattern.items():
+            need[l] -= n * step
+            if need[l] <= 1e-9 * counts[l]:
+                need[l] = 0
+        uses.append((pattern, step))
+    value = sum(use for _, use in uses)
+    if value > (1 + gap) * bound and np.count_nonzero(counts) <= refined_lengths:
+        better, bound = refined(counts, capacity, refined_steps, gap, bound)
+        if sum(use for _, use in better) < value:
+            uses = better
+    return uses, bound
+
+
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination. A threaded linear algebra library is not called: it was seen to
+    wait for ever in a driver that had started Python workers."""
+    m = len(basis)
+    rows = np.concatenate([basis, np.eye(m)], axis=1)
+    for i in range(m):
+        top = i + int(np.abs(rows[i:, i]).argmax())
+        rows[[i, top]] = rows[[top, i]]
+        rows[i] /= rows[i, i]
+        others = np.arange(m) != i
+        rows[others] -= rows[others, i:i + 1] * rows[i]
+    return rows[:, m:]
+
+
+def refined(counts: np.ndarray, capacity: int, steps: int, gap: float, bound: float
+            ) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Uses of a basis that prices the lengths; the dearest pattern enters it, until
+    their sum is within ``gap`` of the bound or ``steps`` patterns have entered."""
+    lengths = np.flatnonzero(counts)
+    patterns, uses = min((first_basis(counts, capacity, source) for source in (fullest, longest)),
+                         key=lambda basis: basis[1].sum())
     m, row = len(lengths), {int(l): i for i, l in enumerate(lengths)}
-    if uses.sum() <= (1 + gap) * bound:
-        return list(zip(patterns, uses.tolist())), bound
-
     def column(pattern: dict[int, int]) -> np.ndarray:
         out = np.zeros(m)
         for l, n in pattern.items():
             out[row[l]] = n
         return out
 
-    inverse = np.linalg.inv(np.stack([column(p) for p in patterns], axis=1))
-    still = 0
-    while uses.sum() > (1 + gap) * bound and still < rounds:
+    inverse = inverted(np.stack([column(p) for p in patterns], axis=1))
+    for _ in range(steps):
+        if uses.sum() <= (1 + gap) * bound:
+            break
         price = np.zeros(len(counts))
         price[lengths] = np.maximum(inverse.sum(axis=0), 0)
-        sizes, best = knapsack(price, capacity)
-        bound = max(bound, float(price @ counts) / best[-1])
+        sizes, best, _ = knapsack(price, capacity)
+        bound = max(bound, float((price * counts).sum()) / best[-1])
         if best[-1] <= 1 + 1e-9:
             break
         pattern = dearest(sizes, best, price[sizes], np.ones(len(sizes), dtype=bool))
-        into = inverse @ column(pattern)
+        into = (inverse * column(pattern)).sum(axis=1)
         ratio = np.where(into > 1e-9, uses / np.where(into > 1e-9, into, 1.0), np.inf)
         out = int(np.argmin(ratio))
         step = float(ratio[out])
-        still = 0 if step * (best[-1] - 1) > 1e-9 * bound else still + 1
         uses = np.maximum(uses - step * into, 0)
         uses[out], patterns[out] = step, pattern
         inverse[out] /= into[out]
@@ -338,7 +440,8 @@ def plan(counts: np.ndarray, config: Packing = Packing()) -> list[tuple[dict[int
     """Patterns with whole uses that hold exactly ``counts[l]`` pieces of each length l."""
     if not counts.any():
         return []
-    uses, _ = linear_program(counts, config.capacity, config.rounds, config.gap)
+    uses, _ = linear_program(counts, config.capacity, config.rounds, config.gap,
+                             config.refined_lengths, config.refined_steps)
     chosen, left = rounded(uses, counts)
     return chosen + best_fit(left, config.capacity)
 

@@ -108,3 +108,42 @@ def test_the_program_covers_every_length_within_its_gap():
         chosen, left = rounded(uses, counts)
         assert left.sum() <= 0.2 * counts.sum()
         assert sum(t for _, t in plan(counts, Packing(capacity=capacity))) <= bound * (1 + Packing().gap) + 3
+
+
+@pytest.mark.parametrize("kind", ["near a third", "any length"])
+def test_wide_histograms_have_a_bounded_plan_from_the_weights(kind):
+    """Thousands of different lengths: the weights place most pieces, in a bounded number of knapsacks."""
+    import time
+
+    from promolens.llm.packing import dual_bound, rounded, weighted
+
+    rng = np.random.default_rng(4)
+    sizes = rng.normal(1400, 150, 5000).astype(int) if kind == "near a third" else rng.integers(1, 4097, 50000)
+    counts = np.bincount(np.clip(sizes, 1, 4096), minlength=4097)
+    uses, need, bound = weighted(counts, 4096, Packing().rounds, dual_bound(counts, 4096))
+    assert (need >= 0).all() and need.sum() <= 0.1 * counts.sum()
+    assert rounded(uses, counts)[1].sum() <= 0.1 * counts.sum()
+    began = time.monotonic()
+    got = sum(n for _, n in plan(counts))
+    assert time.monotonic() - began < 60
+    best = sum(n for _, n in best_fit(counts, 4096))
+    assert bound <= got <= (best if kind == "near a third" else 1.003 * best)
+
+
+def test_uses_of_the_weights_and_of_the_refinement_cover_exactly():
+    from promolens.llm.packing import dual_bound, inverted, refined, weighted
+
+    rng = np.random.default_rng(6)
+    counts = np.bincount(rng.choice([51, 34, 26, 23, 100, 1], 3000), minlength=101)
+    uses, need, bound = weighted(counts, 100, 50, dual_bound(counts, 100))
+    better, tight = refined(counts, 100, 100, 1e-6, bound)
+    for some, left in ((uses, need), (better, np.zeros(101))):
+        held = left.copy()
+        for pattern, use in some:
+            assert sum(l * n for l, n in pattern.items()) <= 100
+            for l, n in pattern.items():
+                held[l] += n * use
+        assert held == pytest.approx(counts, abs=1e-3)
+    assert tight <= sum(use for _, use in better) * (1 + 1e-9)
+    matrix = np.triu(rng.integers(1, 5, (30, 30))).astype(float)
+    assert (matrix[:, :, None] * inverted(matrix)[None]).sum(axis=1) == pytest.approx(np.eye(30), abs=1e-6)
