@@ -52,7 +52,7 @@ class Packing:
     """``rounds``: knapsacks of the linear program at most; ``gap``: how far it may end above its
     bound without refinement, and ``refined_lengths``, ``refined_steps`` what that may cost;
     ``salts``: tasks that rank one length;
-    ``remembered``: chunks, and words in them, kept per worker, about 250 bytes each."""
+    ``remembered``: chunks kept per worker, about 250 bytes each."""
 
     capacity: int = 4096
     end_token: int = 1
@@ -72,14 +72,17 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Bytes of a chunk beyond which it is not remembered, which bounds the table's memory.
 LONG = 100
+#: Runs of marks that are remembered; few are common.
+MARKS_KEPT = 4096
 
 
 class ChunkEncoder(dict):
-    """Ids of texts as little-endian bytes; maps up to ``limit`` chunks to theirs, and as many words.
+    """Ids of texts as little-endian bytes; maps up to ``limit`` chunks to theirs.
 
     The pre-tokeniser parts letters from the marks behind them. Such a plain
-    chunk goes to the library's model at once, its lower-cased word and its
-    marks apart; any other chunk passes the whole library.
+    chunk goes to the library's model at once, its lower-cased word, which is
+    remembered as a chunk of its own, and its marks apart; any other chunk passes
+    the whole library.
     """
 
     def __init__(self, path: str, limit: int) -> None:
@@ -89,7 +92,7 @@ class ChunkEncoder(dict):
         self.library.no_padding()
         self.model, self.limit = self.library.model, limit
         self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.part = lru_cache(limit)(self.part_ids)
+        self.marks = lru_cache(MARKS_KEPT)(self.part_ids)
 
     def part_ids(self, part: str) -> bytes:
         if not part.isascii():
@@ -100,14 +103,15 @@ class ChunkEncoder(dict):
         text = chunk.decode("utf-8", "replace")
         if len(chunk) > LONG:
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
         word = text.rstrip(MARKS)
         if word.isalpha() and (word.isascii() or LATIN(word)):
-            marks = text[len(word):]
-            ids = self.part(word.lower()) + (self.part(marks) if marks else b"")
+            lower, marks = word.lower(), text[len(word):]
+            ids = self.part_ids(lower) if lower == text else self[lower.encode()]
+            ids += self.marks(marks) if marks else b""
         else:
             ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.limit:
+            self.clear()
         self[chunk] = ids
         return ids
 
