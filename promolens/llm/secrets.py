@@ -4,16 +4,26 @@ Three patterns (assignments, access keys, long hexadecimal runs) always count.
 Every other token of 20 or more key characters is read in the encoding its
 characters suggest (hexadecimal, base32, base36 of either case, letters of both
 cases, base64), or else in the widest, and put through three tests of "the
-symbols are random": chi-squared uniformity over five alphabet groups,
-Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation.
-Fisher's method joins the three p-values. Over all documents, and apart for
-each band of lengths (short tokens have less power and must not share a family
-with long ones) and group of encodings (plain words, which most tokens without
-an encoding of their own are, must not share one with keys), the
-Benjamini-Hochberg step-up at rate ``q`` decides which tokens are proven not
-random; the others are reported as kind ``random``. The step-up works on counts
-per (band, p bin), a table of fixed size, and only one threshold per band
-reaches the driver.
+symbols are random": chi-squared uniformity over five groups of the alphabet
+(vowels, common and rare consonants, capitals and digits where the encoding has
+letters beyond f, which texts use very unevenly), Wald-Wolfowitz runs about the
+alphabet's middle, and lag-one serial correlation. Fisher's method joins the
+three p-values.
+
+Errors of both kinds are controlled, over all documents and apart for each band
+of lengths (short tokens have less power and must not share a family with long
+ones) and group of encodings (plain words, which most tokens without an encoding
+of their own are, must not share one with keys). A token is reported as kind
+``random`` where the Benjamini-Hochberg step-up at rate ``q`` does not prove it
+not random, and a second step-up at rate ``false`` rejects that it is a name.
+The p-value of the second is the share of names of its group that look at least
+as random. Every document gives one name in each of four styles (two cases, two
+cases with a number, one case with a number, words with ``_``), of words of its
+own from a place that its hash chooses; so the names grow with the table. They
+are as short as the shortest band allows: longer names look less random, so that
+share is safe for them, too. A group without a name has the first step-up alone.
+Both work on counts per (family, p bin), a table of fixed size, and only one
+threshold per family reaches the driver.
 
 Letters of one case without a digit, digits alone, and letters of one case and
 digits with a sign (``+/_-``) have no encoding of their own: most are words,
@@ -22,8 +32,9 @@ are proven not to be.
 
 Everything is built-in expressions. Edge cases: null text is empty; no match
 gives empty lists; tokens that touch a pattern's span are not reported twice;
-an empty table gives an empty result. ``into`` names the added struct and
-replaces a column of that name.
+an empty table gives an empty result; a text without words gives no name.
+``into`` names the added struct and replaces a column of that name; other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +44,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.llm.columns import let, normal_tail, whole_text
+from promolens.llm.columns import let, normal_tail, whole_text, words
 from promolens.llm.scratch import table
 from promolens.llm.spans import by_start, listed, of_kind, overlaps, redacted, spans
 
@@ -53,15 +64,26 @@ WIDEST = "base64"
 #: Encodings whose tokens share families of tests; tokens without one are the last group.
 FAMILIES = (("hex", "base32", "base64"), ("base36",), ("letters",))
 GROUPS = 5
+VOWELS, COMMON, RARE = "aeiou", "tnsrlhdc", "bfgjkmpqvwxyz"
+#: Groups of each alphabet for the test of uniformity; five, so that it has four degrees of freedom.
+CELLS = {"hex": [ALPHABETS["hex"][-(-16 * g // GROUPS):-(-16 * (g + 1) // GROUPS)] for g in range(GROUPS)],
+         "base32": [VOWELS.upper(), COMMON.upper(), RARE.upper(), "234", "567"],
+         "base64": [VOWELS, COMMON, RARE, (VOWELS + COMMON + RARE).upper(), "0123456789+/"],
+         "base36": [VOWELS, COMMON, RARE, "01234", "56789"],
+         "letters": [VOWELS, COMMON, RARE, (VOWELS + COMMON).upper(), RARE.upper()]}
+#: A word that names are made of, and how many words of a text are looked at for one style.
+WORD, SPAN_OF_WORDS = "^[A-Za-z]{2,12}$", 48
 BINS_PER_DECADE, MAX_BIN = 10, 300
 
 
 @dataclass(frozen=True)
 class Battery:
-    """``bands``: lengths at which a new family of tests starts; ``q``: the share of
-    random tokens that may be lost among those declared not random."""
+    """``bands``: lengths at which a new family of tests starts; ``q``: the share of random
+    tokens that may be lost among those declared not random; ``false``: the share of names
+    that may be among the tokens reported."""
 
     q: float = 0.05
+    false: float = 0.05
     bands: tuple[int, ...] = (20, 28, 40, 64, 128)
 
 
@@ -75,29 +97,33 @@ def encoding(token: Column) -> Column:
             .when(token.rlike("^[A-Za-z]+$") & token.rlike("[A-Z]") & token.rlike("[a-z]"), "letters"))
 
 
-def uniformity(values: Column, size: int) -> Column:
+def uniformity(plain: Column, cells: list[str]) -> Column:
     """p of the chi-squared statistic over five groups of the alphabet (4 degrees of freedom)."""
-    shares = [sum(1 for v in range(size) if v * GROUPS // size == g) / size for g in range(GROUPS)]
-    n = F.size(values)
+    size = sum(map(len, cells))
+    n = F.length(plain)
 
-    def part(group: int) -> Column:
-        seen = F.size(F.filter(values, lambda v: F.floor(v * GROUPS / size) == group))
-        return F.pow(seen - n * shares[group], F.lit(2.0)) / (n * shares[group])
+    def part(cell: str) -> Column:
+        seen = n - F.length(F.translate(plain, cell, ""))
+        return F.pow(seen - n * (len(cell) / size), F.lit(2.0)) / (n * (len(cell) / size))
 
-    half = sum((part(g) for g in range(1, GROUPS)), part(0)) / 2
-    return F.exp(-half) * (1 + half)
+    return let(sum((part(c) for c in cells[1:]), part(cells[0])) / 2,
+               lambda half: F.exp(-half) * (1 + half))
 
 
 def runs(values: Column, size: int) -> Column:
     """Two-sided p of the number of runs above and below the alphabet's middle."""
-    n = F.size(values)
-    above = F.size(F.filter(values, lambda v: v >= size // 2))
+    n = F.size(values).cast("double")
     count = 1 + F.size(F.filter(values, lambda v, i: (i > 0) & (
         (v >= size // 2) != (F.get(values, i - 1) >= size // 2))))
-    both = 2.0 * above * (n - above)
-    mean = both / n + 1
-    spread = both * (both - n) / (n * n * (n - 1.0))
-    return F.when(spread > 0, 2 * normal_tail(F.abs(count - mean) / F.sqrt(spread))).otherwise(0.0)
+
+    def tail(both: Column) -> Column:
+        mean = both / n + 1
+        spread = both * (both - n) / (n * n * (n - 1.0))
+        return F.when(spread > 0, let(F.abs(count - mean) / F.sqrt(spread),
+                                      lambda z: 2 * normal_tail(z))).otherwise(0.0)
+
+    return let(F.size(F.filter(values, lambda v: v >= size // 2)),
+               lambda above: let(2.0 * above * (n - above), tail))
 
 
 def serial(values: Column) -> Column:
@@ -110,7 +136,8 @@ def serial(values: Column) -> Column:
         lag = F.aggregate(F.transform(values, lambda v, i: F.when(
             i > 0, (v - m) * (F.get(values, i - 1) - m)).otherwise(0.0)),
             F.lit(0.0), lambda a, v: a + v)
-        return F.when(square > 0, 2 * normal_tail(F.abs(lag / square) * F.sqrt(n)))
+        return let(square, lambda all_squares: F.when(all_squares > 0, let(
+            F.abs(lag / all_squares) * F.sqrt(n), lambda z: 2 * normal_tail(z))))
 
     return F.coalesce(let(mean, correlated), F.lit(0.0))
 
@@ -126,7 +153,7 @@ def randomness(token: Column, kind: Column) -> Column:
         alphabet = ALPHABETS[name]
         plain = F.lower(token) if name in ("hex", "base36") else F.translate(token, "-_", "+/")
         values = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-        return let(values, lambda v: fisher([uniformity(v, len(alphabet)), runs(v, len(alphabet)),
+        return let(values, lambda v: fisher([uniformity(plain, CELLS[name]), runs(v, len(alphabet)),
                                              serial(v)]))
 
     found = of(WIDEST)
@@ -145,9 +172,45 @@ def family(token: Column, kind: Column, config: Battery) -> Column:
         (F.when(F.length(token) >= b, 1).otherwise(0) for b in config.bands[1:]), F.lit(0))
 
 
+def names(text: Column, config: Battery) -> Column:
+    """One name of each style, joined from the text's own words; none where it has no words."""
+    def near(all_words: Column, chosen: Column) -> Column:
+        # Words from the chosen place on; a text that ends before goes on from its start.
+        at = F.pmod(chosen, F.size(all_words)).cast("int") + 1
+        found = F.concat(F.slice(all_words, at, SPAN_OF_WORDS), F.slice(all_words, 1, SPAN_OF_WORDS))
+        return F.filter(found, lambda w: w.rlike(WORD))
+
+    def joined(few: Column, chosen: Column) -> Column:
+        number = F.lpad(F.pmod(chosen, F.lit(9973)).cast("string"), 4, "2")
+        # The words are repeated as far as needed; the fewest that reach the length are joined.
+        least = config.bands[0]
+        many = F.flatten(F.array_repeat(F.slice(few, 1, least), F.ceil(
+            F.lit(least / 2) / F.greatest(F.size(few), F.lit(1))).cast("int")))
+        reach = F.aggregate(many, F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")),
+                            lambda acc, w: F.when(acc["chars"] >= least, acc).otherwise(F.struct(
+                                (acc["n"] + 1).alias("n"),
+                                (acc["chars"] + F.length(w)).alias("chars"))), lambda acc: acc["n"])
+
+        def styles(part: Column) -> Column:
+            camel = F.array_join(F.transform(part, lambda w, i: F.when(
+                i == 0, F.lower(w)).otherwise(F.initcap(w))), "")
+            lower = F.lower(F.array_join(part, ""))
+            return F.array(camel, F.concat(camel, number), F.concat(lower, number),
+                           F.lower(F.array_join(part, "_")))
+
+        return let(F.slice(many, 1, reach), styles)
+
+    none = F.array().cast("array<string>")
+    # The hash of a whole text is taken once, not for every word.
+    return let(F.struct(words(text).alias("words"), F.xxhash64(text).alias("chosen")),
+               lambda t: F.when(F.size(t["words"]) == 0, none).otherwise(
+                   let(near(t["words"], t["chosen"]), lambda few: F.when(F.size(few) == 0, none)
+                       .otherwise(joined(few, t["chosen"])))))
+
+
 def scanned(docs: DataFrame, config: Battery = Battery(), text: str = "text",
             into: str = "secrets") -> DataFrame:
-    """Base spans and tested tokens of every text: the struct (base, tokens)."""
+    """Base spans, tested tokens and tested names of every text: the struct (base, tokens, names)."""
     whole = whole_text(text)
     base = F.concat(
         of_kind(spans(whole, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
@@ -161,24 +224,49 @@ def scanned(docs: DataFrame, config: Battery = Battery(), text: str = "text",
             s["start"].alias("start"), s["end"].alias("end"),
             randomness(s["found"], kind).alias("p"), family(s["found"], kind, config).alias("band"))))
 
+    made = F.transform(names(whole, config), lambda t: let(encoding(t), lambda kind: F.struct(
+        randomness(t, kind).alias("p"), family(t, kind, config).alias("band"))))
     return docs.withColumn(into, let(by_start(base), lambda b: F.struct(
-        b.alias("base"), tested(b).alias("tokens"))))
+        b.alias("base"), tested(b).alias("tokens"), made.alias("names"))))
 
 
 def thresholds(found: DataFrame, config: Battery = Battery(), into: str = "secrets") -> list[float]:
-    """Per family the largest p that Benjamini-Hochberg rejects; at most one row a family is collected."""
-    binned = (found.select(F.explode(F.col(into)["tokens"]).alias("t"))
-              .select("t.band", F.least(F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(1e-300)))
-                                                * BINS_PER_DECADE), F.lit(MAX_BIN)).alias("bin"))
-              .groupBy("band", "bin").count())
+    """Per family the p that a token must exceed to be reported: the larger one of the largest p
+    that proves a token not random, and the largest p at which it may still be a name. At most
+    one row a family is collected."""
+    def tested(field: str, role: int) -> DataFrame:
+        return (found.select(F.explode(F.col(into)[field]).alias("t")).select(
+            "t.band", F.lit(role).alias("name"),
+            F.least(F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(1e-300))) * BINS_PER_DECADE),
+                    F.lit(MAX_BIN)).alias("bin")))
+
+    bands = len(config.bands)
+    binned = (tested("tokens", 0).unionByName(tested("names", 1)).groupBy("band", "bin")
+              .agg(F.sum(1 - F.col("name")).alias("count"), F.sum("name").alias("names")))
+    # Names count in every band of their group.
+    group = F.floor(F.col("band") / bands).cast("int") * bands
+    shared = binned.filter("names > 0").select(
+        F.explode(F.sequence(group, group + (bands - 1))).alias("band"), "bin",
+        F.lit(0).cast("long").alias("count"), "names")
+    own = binned.filter("count > 0").select(
+        F.col("band").cast("int").alias("band"), "bin", "count", F.lit(0).cast("long").alias("names"))
+    binned = own.unionByName(shared).groupBy("band", "bin").agg(
+        F.sum("count").alias("count"), F.sum("names").alias("names"))
     band = Window.partitionBy("band")
+    likely, unlikely = band.orderBy("bin"), band.orderBy(F.desc("bin"))
     edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
-    cut = (binned.withColumn("m", F.sum("count").over(band))
-           .withColumn("rank", F.sum("count").over(band.orderBy(F.desc("bin"))))
-           .filter(edge <= config.q * F.col("rank") / F.col("m"))
-           .groupBy("band").agg(F.max(edge).alias("p")))
-    by_band = {r["band"]: r["p"] for r in cut.collect()}
-    return [by_band.get(b, 0.0) for b in range(len(config.bands) * (len(FAMILIES) + 1))]
+    ranked = (binned.withColumns({"m": F.sum("count").over(band), "all": F.sum("names").over(band),
+                                  "rank": F.sum("count").over(unlikely)})
+              .withColumns({"above": F.sum("count").over(likely),
+                            "tail": (F.sum("names").over(likely) + 1) / (F.col("all") + 1)}))
+    proven = (F.col("count") > 0) & (edge * F.col("m") <= config.q * F.col("rank"))
+    no_name = (F.col("above") > 0) & (F.col("tail") * F.col("m") <= config.false * F.col("above"))
+    below = F.pow(F.lit(10.0), -(F.col("bin") + 1) / BINS_PER_DECADE)
+    cut = ranked.groupBy("band").agg(
+        F.max(F.when(proven, edge)).alias("random"),
+        F.when(F.max("all") > 0, F.coalesce(F.min(F.when(no_name, below)), F.lit(1.0))).alias("named"))
+    by_band = {r["band"]: max(r["random"] or 0.0, r["named"] or 0.0) for r in cut.collect()}
+    return [by_band.get(b, 0.0) for b in range(bands * (len(FAMILIES) + 1))]
 
 
 def secret_spans(docs: DataFrame, config: Battery = Battery(), text: str = "text",
