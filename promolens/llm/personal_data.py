@@ -5,22 +5,32 @@ them, high-recall generators propose spans that may overlap each other and the
 patterns: anything around an at sign or its spelled-out forms, any longer run
 of digits and separators, dotted or colon-separated groups. Each candidate
 gets format features (digits, separators, groups, check digit, ranges) and
-context features (words before it, signs beside it). Gradient-boosted trees
-learn from all candidates which of them are personal data; a candidate counts
-as an example of it where a pattern with its checks confirms a span in it.
-Equal feature rows are one weighted row, so training does not grow with copies.
+context features (words before it, signs beside it). A candidate is an example
+of personal data where a pattern with its checks confirms a span in it. One that
+no pattern confirms is an example of other text only if nothing speaks for it:
+with a hint before it (a word as in ``HINTS``), or an at sign that is spelled
+out, it has no label, takes no part in training or calibration, and is what the
+trees decide on. Others are never added, so text without a sign of personal data
+stays as it is.
+
+So that the trees cannot learn the patterns themselves, every confirmed
+candidate is an example a second time with the sign hidden that its pattern
+needs: the at sign spelled out, or the plus and the separators left out. Equal
+feature rows are one weighted row, so training does not grow with copies.
 
 The trees become plain column expressions. Per generator, the threshold is the
-lowest score at which candidates of the held-out fold reach ``precision``; a
-generator that never reaches it with ``least`` candidates adds nothing. Spans
-that touch a base span add nothing either.
+lowest score at which labelled candidates of the held-out fold, the confirmed
+ones in their hidden form, reach ``precision``; a generator that never reaches
+it with ``least`` candidates adds nothing. Spans that touch a base span add
+nothing either.
 
 All steps are built-in expressions and Spark's own tree training. The driver
 sees the trees and counts per (generator, score bin), both of fixed size.
 
 Edge cases: null text is empty; no candidate gives empty lists; a table whose
 candidates are all of one class adds no span; an empty table gives an empty
-result. ``into`` names the added struct and replaces a column of that name.
+result. ``into`` names the added struct and replaces a column of that name;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -49,6 +59,8 @@ GENERATORS = {
     "number": r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}",
     "groups": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?:[:.][0-9A-Fa-f]{1,4}){3,8}"}
 HINTS = r"(?i)(mail|contact|write|call|tel|phone|mobile|fax|card|visa|iban|account|ip|host|server)[^\s]{0,4}\s?$"
+#: An at sign that is spelled out, between the parts of an address.
+SPELLED = r"(?i)[A-Za-z0-9._%+-]\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SCORE_BINS = 100
 
 
@@ -97,7 +109,8 @@ def features(found: Column, before: Column, after: Column) -> Column:
     digits = only_digits(found)
     size = F.length(found)
     numbers = [size, F.length(digits), removed("."), removed("-"), removed(" "), removed("()"),
-               removed("@"), removed(":"), removed("+"),
+               removed("@") + F.size(F.regexp_extract_all(found, F.lit(r"(?i)[(\[]at[)\]]"), F.lit(0))),
+               removed(":"), removed("+"),
                F.size(F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0))),
                F.size(F.regexp_extract_all(found, F.lit("[A-Za-z]+"), F.lit(0))),
                F.when(F.length(digits).between(8, 24), luhn(digits)).otherwise(False),
@@ -107,17 +120,34 @@ def features(found: Column, before: Column, after: Column) -> Column:
     return F.array(*[F.coalesce(n.cast("double"), F.lit(0.0)) for n in numbers])
 
 
+def hidden(found: Column, generator: int) -> Column:
+    """A candidate without the sign that its pattern needs."""
+    if list(GENERATORS)[generator] == "address":
+        return F.regexp_replace(found, "@", "(at)")
+    if list(GENERATORS)[generator] == "number":
+        return F.regexp_replace(found, "[+().-]", "")
+    return F.translate(found, ":", ".")
+
+
 def candidates(text: Column, config: Boosting) -> Column:
     """Spans of all generators with their features; they may overlap."""
     near = config.context
 
     def of(rank: int, pattern: str) -> Column:
-        return F.transform(spans(text, pattern), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(rank).alias("generator"), s["end"].alias("end"),
-            features(s["found"],
-                     F.substring(text, F.greatest(s["start"] - near + 1, F.lit(1)),
-                                 F.least(s["start"], F.lit(near))),
-                     F.substring(text, s["end"] + 1, F.lit(near))).alias("x")))
+        def described(s: Column, before: Column, after: Column) -> Column:
+            return F.struct(
+                s["start"].alias("start"), F.lit(rank).alias("generator"), s["end"].alias("end"),
+                features(s["found"], before, after).alias("x"),
+                features(hidden(s["found"], rank), before, after).alias("hidden"),
+                (before.rlike(HINTS) | s["found"].rlike(SPELLED)).alias("open"))
+
+        def around(s: Column) -> Column:
+            return F.struct(F.substring(text, F.greatest(s["start"] - near + 1, F.lit(1)),
+                                        F.least(s["start"], F.lit(near))).alias("before"),
+                            F.substring(text, s["end"] + 1, F.lit(near)).alias("after"))
+
+        return F.transform(spans(text, pattern), lambda s: let(
+            around(s), lambda n: described(s, n["before"], n["after"])))
 
     return F.concat(*[of(i, p) for i, p in enumerate(GENERATORS.values())])
 
@@ -130,7 +160,8 @@ def scanned(docs: DataFrame, config: Boosting = Boosting(), text: str = "text",
     def marked(base: Column) -> Column:
         return F.transform(candidates(whole, config), lambda c: F.struct(
             c["start"].alias("start"), c["generator"].alias("generator"), c["end"].alias("end"),
-            c["x"].alias("x"), overlaps(c, base).alias("personal")))
+            c["x"].alias("x"), c["hidden"].alias("hidden"), c["open"].alias("open"),
+            overlaps(c, base).alias("personal")))
 
     return docs.withColumn(into, let(base_spans(whole), lambda b: F.struct(
         b.alias("base"), marked(b).alias("candidates"),
@@ -146,10 +177,20 @@ def tree_column(node, x: Column) -> Column:
                   tree_column(node.leftChild(), x)).otherwise(tree_column(node.rightChild(), x))
 
 
+def examples(found: DataFrame, into: str, held_out: bool) -> DataFrame:
+    """(generator, x, personal) of the labelled candidates of one side: confirmed ones in their
+    hidden form and, for training, as they are; others unless they are open."""
+    one = (found.filter(F.col(into)["held_out"] == held_out)
+           .select(F.explode(F.col(into)["candidates"]).alias("c"))
+           .filter("c.personal OR NOT c.open"))
+    forms = F.when(F.col("c.personal"), F.array("c.hidden") if held_out else F.array(
+        "c.x", "c.hidden")).otherwise(F.array("c.x"))
+    return one.select("c.generator", F.explode(forms).alias("x"), "c.personal")
+
+
 def trained(found: DataFrame, config: Boosting, into: str):
     """The scoring function of boosted trees, or None where one class is missing."""
-    rows = (found.filter(~F.col(into)["held_out"]).select(F.explode(F.col(into)["candidates"]).alias("c"))
-            .groupBy(F.col("c.x").alias("x"), F.col("c.personal").cast("double").alias("label"))
+    rows = (examples(found, into, False).groupBy("x", F.col("personal").cast("double").alias("label"))
             .agg(F.count(F.lit(1)).cast("double").alias("weight")))
     rows = table(rows, "candidates")
     if rows.select("label").distinct().count() < 2:
@@ -167,11 +208,11 @@ def trained(found: DataFrame, config: Boosting, into: str):
     return score
 
 
-def thresholds(scored: DataFrame, config: Boosting, into: str) -> list[float]:
-    """Per generator the lowest score bin whose held-out candidates reach the precision."""
-    counted = (scored.filter(F.col(into)["held_out"]).select(F.explode(F.col(into)["candidates"]).alias("c"))
-               .groupBy("c.generator", F.floor(F.col("c.score") * SCORE_BINS).alias("bin"))
-               .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.personal").cast("long")).alias("hits")))
+def thresholds(found: DataFrame, score, config: Boosting, into: str) -> list[float]:
+    """Per generator the lowest score bin whose held-out examples reach the precision."""
+    counted = (examples(found, into, True)
+               .groupBy("generator", F.floor(score(F.col("x")) * SCORE_BINS).alias("bin"))
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("personal").cast("long")).alias("hits")))
     out = [2.0] * len(GENERATORS)
     seen: dict[int, list[int]] = {}
     for r in counted.orderBy(F.desc("bin")).collect():  # at most generators x bins rows
@@ -191,12 +232,9 @@ def personal_spans(docs: DataFrame, config: Boosting = Boosting(), text: str = "
     score = trained(found, config, into)
     extra = F.filter(proposed, lambda c: F.lit(False))
     if score:
-        scored = F.transform(proposed, lambda c: F.struct(
-            c["start"].alias("start"), c["generator"].alias("generator"), c["end"].alias("end"),
-            c["personal"].alias("personal"), score(c["x"]).alias("score")))
-        cuts = F.array(*map(F.lit, thresholds(found.withColumn(into, F.struct(
-            scored.alias("candidates"), F.col(into)["held_out"].alias("held_out"))), config, into)))
-        extra = F.filter(scored, lambda c: (c["score"] >= F.get(cuts, c["generator"])) & ~c["personal"])
+        cuts = F.array(*map(F.lit, thresholds(found, score, config, into)))
+        extra = F.filter(proposed, lambda c: c["open"] & ~c["personal"]
+                         & (score(c["x"]) >= F.get(cuts, c["generator"])))
     names = F.array(*map(F.lit, GENERATORS))
     added = F.transform(extra, lambda c: F.struct(
         c["start"].alias("start"), (c["generator"] + len(BASE_KINDS)).alias("rank"),

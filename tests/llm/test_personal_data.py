@@ -42,3 +42,19 @@ def test_redaction_and_edges(spark):
     got = {r.doc_id: r.text for r in redact(personal_spans(docs)).collect()}
     assert got == {1: "é [personal] or [personal]", 2: "clean 12", None: None}
     assert personal_spans(docs.limit(0)).count() == 0
+
+
+def test_trees_add_hidden_forms_and_leave_other_text(spark):
+    rows = []
+    for i in range(900):
+        rows.append([f"please write to user{i}.name@mail{i % 7}.org today", f"please call +49 30 {7000000 + 31 * i} now",
+                     f"in total {i * 7919 + 1000000} {i} pieces of stock"][i % 3])
+    planted = ["please write to jane.doe (at) host.org today", "please write to joe (at) mail3.org today",
+               "please call 49 30 7654321 now", "mobile 49 30 7012345 after six"]
+    clean = ["a stock of 49 30 7654321 pieces", "see jane (at the gate)", "between 1000000 2000000 units"]
+    docs = spark.createDataFrame(list(enumerate(rows + planted + clean)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_spans(docs).select(
+        "doc_id", F.size("pii.base").alias("base"), F.size("pii.all").alias("every")).collect()}
+    assert all(got[i].every == got[i].base == (i % 3 < 2) for i in range(900))
+    assert all(got[900 + k].base == 0 and got[900 + k].every >= 1 for k in range(len(planted)))
+    assert all(got[904 + k].every == 0 for k in range(len(clean)))
