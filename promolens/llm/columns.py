@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +48,36 @@ def normal_tail(z: Column) -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with only the columns that are not named."""
     return df.select([F.col(f"`{c}`") for c in df.columns if c not in names])
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` for tables that may have columns named like its own, which begin with ``_``.
+
+    Such columns have other names while it works and their own in its result; arguments that
+    name one follow. A column named ``into`` is left to the operator, which replaces it.
+    """
+    shape = signature(operator)
+
+    @wraps(operator)
+    def safe(*args, **kwargs) -> DataFrame:
+        given = shape.bind(*args, **kwargs)
+        given.apply_defaults()
+        first = next(iter(shape.parameters))
+        docs, into = given.arguments[first], given.arguments["into"]
+        clashing = [c for c in docs.columns if c.startswith("_") and c != into]
+        if not clashing:
+            return operator(*args, **kwargs)
+        prefix = "own"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "x"
+        away = {c: f"{prefix}{i}" for i, c in enumerate(clashing)}
+        back = {new: c for c, new in away.items()}
+        for name in ("key", "text", "stratum"):
+            if name in given.arguments:
+                given.arguments[name] = away.get(given.arguments[name], given.arguments[name])
+        given.arguments[first] = docs.select(
+            [F.col(f"`{c}`").alias(away.get(c, c)) for c in docs.columns])
+        found = operator(*given.args, **given.kwargs)
+        return found.select([F.col(f"`{c}`").alias(back.get(c, c)) for c in found.columns])
+
+    return safe

@@ -16,7 +16,8 @@ Edge cases: a null text is empty; texts that differ in white space runs only
 are equal; the smallest identifier stays, a null one only if its group has no
 other; of repeated rows with one identifier the one with the smallest locator
 stays. An empty table gives an empty result. ``into`` names the added struct
-(keep_id, group_size, kept, text_sha256) and replaces a column of that name.
+(keep_id, group_size, kept, text_sha256) and replaces a column of that name;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolens.llm.columns import SPACE, whole_text
+from promolens.llm.columns import SPACE, any_names, whole_text
 from promolens.llm.scratch import exists, folder, table
 from promolens.operators.joins import split_join
 
@@ -87,6 +88,7 @@ def stream_groups(log: DataFrame, log_path: str, files_per_batch: int = 200) ->
             ).groupBy("_digest").agg(F.min("_stays").alias("_stays"), F.max("_size").alias("_size"))
 
 
+@any_names
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      into: str = "dedup", keep_text: bool = True,
                      digest: Callable[[Column], Column] = sha256,

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from promolens.llm.columns import whole_text
+from promolens.llm.columns import any_names, whole_text
 from promolens.llm.scratch import table
 
 
@@ -465,6 +465,7 @@ def slots(uses: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {size: np.array(rows, dtype=np.int64) for size, rows in by_length.items()}
 
 
+@any_names
 def packed(docs: DataFrame, config: Packing = Packing(), text: str = "text", into: str = "piece",
            with_ids: bool = True) -> DataFrame:
     """One row per piece with ``sequence_id`` and ``offset`` added to the struct ``into``."""

@@ -34,6 +34,8 @@ from promolens.llm.columns import whole_text
 
 
 HEAD = 8
+#: Bytes of the longest pre-token whose counts are remembered.
+LONGEST_KNOWN = 100
 #: Where Python's classes agree with the vocabulary's pattern, its own engine is faster. They
 #: differ for numbers that are no digits and for the four separators that count as space.
 LIKE_PATTERN = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", r"[^\W\d_]")
@@ -171,6 +173,8 @@ class PrefixCounter:
             if word in ("'re", "'ve", "'ll"):  # half of it is a quote and a letter
                 count[2] = 2
             found = bytes([b - a & 255 for a, b in zip(count, count[1:])])
+            if len(data) > LONGEST_KNOWN:  # rarely met again, and memory is bounded by bytes
+                return found
             if len(self.known) >= self.limit:
                 self.known.clear()
             self.known[word] = found

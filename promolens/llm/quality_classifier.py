@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolens.llm.columns import whole_text
+from promolens.llm.columns import any_names, whole_text
 from promolens.llm.scratch import table
 
 FEATURES = ("words", "word_length", "word_spread", "lines", "capitals", "digits", "symbols", "marks",
@@ -150,6 +150,7 @@ def score(model: Discriminant, statistics: Column) -> Column:
     return scored(statistics)
 
 
+@any_names
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, config: Shrinkage = Shrinkage(),
                    key: str = "doc_id", text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` without the text, with a score; only rows where ``learn`` holds are learnt from.

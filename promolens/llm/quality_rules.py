@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.llm.columns import let, whole_text, words
+from promolens.llm.columns import any_names, let, whole_text, words
 from promolens.operators.joins import broadcast_if_small
 
 SYMBOLS = "#*$%&|<>"
@@ -184,6 +184,7 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, config: Risk = Risk()
                                              for r in range(len(RULES))]).alias("cutoffs"))
 
 
+@any_names
 def apply_cutoffs(stats: DataFrame, cutoffs: DataFrame, config: Risk = Risk(),
                   stratum: str = "lang", into: str = "rules") -> DataFrame:
     """Add ``kept`` to the struct: no base failure and no share above its cutoff.

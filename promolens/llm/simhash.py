@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.llm.columns import whole_text
+from promolens.llm.columns import any_names, whole_text
 from promolens.llm.scratch import owned, release, table
 from promolens.operators.joins import broadcast_if_small
 
@@ -182,6 +182,7 @@ def connected(edges: DataFrame) -> DataFrame:
             before = state
 
 
+@any_names
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     into: str = "near", keep_text: bool = True,
                     config: Near = Near()) -> DataFrame:
