@@ -136,39 +136,55 @@ def matched_packs(carts: DataFrame, packs: DataFrame) -> DataFrame:
             .select("*", "_pack.pack_id", "_pack.copies").drop("_packs", "_pack"))
 
 
+def carts_by_day(carts: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Carts folded per (lookup columns of their packs, value bucket, ``several``).
+
+    A cart seen on one day of its (store, segment, repeat flag, slot, bucket)
+    has no ``several`` and is counted in one row of that day. A cart seen on
+    several days carries them, with what was marked on each, and meets the
+    carts of the same days and marks: all of them match a pack on the same
+    days, so a pack counts them at most once by the largest of its days' rows.
+    """
+    choice = ["store_id", "customer_segment", "repeat_flag", "slot", "cart_bucket"]
+    placed = F.col("cart_state") == vocab.placed_state
+    coupon = F.col("coupon_flag") == 1
+    item = F.col("item_flag") == 1
+    marks = {"cart_count": F.lit(True), "order_carts": placed,
+             "coupon_carts": coupon, "coupon_order_carts": coupon & placed,
+             "item_discount_carts": item, "item_discount_order_carts": item & placed}
+    sums = {"coupon_discount_value": "coupon_discount", "coupon_cart_value": "cart_value"}
+    # Dealt by what both the rows per day and the window ask for: one shuffle for the two.
+    per_day = carts.repartition("cart_id", *choice).groupBy("cart_id", *choice, "dt").agg(
+        *[F.max(F.when(test, 1).otherwise(0)).alias(name) for name, test in marks.items()],
+        *[F.sum(F.when(coupon, F.col(name))).alias(alias) for alias, name in sums.items()])
+    cart = Window.partitionBy("cart_id", *choice)
+    days = F.array_sort(F.collect_list(F.struct("dt", *marks)).over(cart))
+    return (per_day.withColumn("several", F.when(F.count(F.lit(1)).over(cart) > 1, days))
+            .groupBy("dt", *choice, "several")
+            .agg(*[F.sum(name).alias(name) for name in (*marks, *sums)]))
+
+
 def cart_funnel(carts: DataFrame, packs: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
                 bucketed: bool = False) -> DataFrame:
     """Distinct cart counts and sums per pack, segment, repeat flag, slot and value bucket.
 
     ``carts`` carries the labels, ``packs`` comes from ``pack_multiplicity``;
     ``bucketed`` says that its mapping is stored in buckets.
-    Rows are first reduced to one per (group, cart) holding 0/1 marks, so the
-    six distinct counts become six sums instead of six copies of every row.
+    Carts are folded before they meet the packs, so a cart is not copied for
+    each pack of its store and day, and the six distinct counts are sums.
     """
     group = ["store_id", "pack_id", "customer_segment", "repeat_flag", "slot", "cart_bucket"]
-    placed = F.col("cart_state") == vocab.placed_state
-    coupon = F.col("coupon_flag") == 1
-    item = F.col("item_flag") == 1
-
-    def mark(test, name):
-        return F.max(F.when(test, 1).otherwise(0)).alias(name)
-
-    def value(name, alias):
-        return F.sum(F.when(coupon, F.col(name) * F.col("copies"))).alias(alias)
-
-    matched = matched_packs(carts, packs) if bucketed else carts.join(
+    counts = ["cart_count", "order_carts", "coupon_carts", "coupon_order_carts",
+              "item_discount_carts", "item_discount_order_carts"]
+    sums = ["coupon_discount_value", "coupon_cart_value"]
+    folded = carts_by_day(carts, vocab)
+    matched = matched_packs(folded, packs) if bucketed else folded.join(
         packs, ["dt", "store_id", "customer_segment", "repeat_flag", "slot"])
-    per_cart = matched.groupBy(*group, "cart_id").agg(
-        mark(placed, "order_carts"),
-        mark(coupon, "coupon_carts"), mark(coupon & placed, "coupon_order_carts"),
-        mark(item, "item_discount_carts"), mark(item & placed, "item_discount_order_carts"),
-        value("coupon_discount", "coupon_discount_value"),
-        value("cart_value", "coupon_cart_value"))
-    return per_cart.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("cart_count"),
-        *[F.sum(name).alias(name) for name in (
-            "order_carts", "coupon_carts", "coupon_order_carts", "item_discount_carts",
-            "item_discount_order_carts", "coupon_discount_value", "coupon_cart_value")])
+    once = F.col("several").isNull()
+    per_days = matched.groupBy(*group, "several").agg(
+        *[F.when(once, F.sum(name)).otherwise(F.max(name)).alias(name) for name in counts],
+        *[F.sum(F.col(name) * F.col("copies")).alias(name) for name in sums])
+    return per_days.groupBy(*group).agg(*[F.sum(name).alias(name) for name in (*counts, *sums)])
 
 
 def cart_counts(carts: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:

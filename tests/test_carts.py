@@ -141,3 +141,45 @@ def test_stored_mapping_gives_the_same_reports(spark, tmp_path):
     assert rows(efficiency(frames, PARAMS, mapping=stored)) == fresh
     unpruned = ReportParams(**{**PARAMS.__dict__, "max_broadcast_rows": 0})
     assert rows(efficiency(frames, unpruned, mapping=stored)) == fresh
+
+
+def counted(carts_rows, pack_rows):
+    """The funnel's counts by hand: carts and sums per (pack, bucket), a cart once however many days."""
+    found = {}
+    for r in carts_rows:
+        for dt, pack, copies in pack_rows:
+            if dt != r["dt"]:
+                continue
+            key = (pack, r["cart_bucket"])
+            seen, sums = found.setdefault(key, ({}, [None]))
+            marks = seen.setdefault(r["cart_id"], [0] * 5)
+            placed, coupon, item = r["cart_state"] == "PLACE_ORDER", r["coupon_flag"] == 1, r["item_flag"] == 1
+            for i, mark in enumerate((placed, coupon, coupon and placed, item, item and placed)):
+                marks[i] |= mark
+            if coupon:
+                sums[0] = (sums[0] or 0) + r["cart_value"] * copies
+    return [(*key, len(seen), *[sum(m[i] for m in seen.values()) for i in range(5)], sums[0])
+            for key, (seen, sums) in found.items()]
+
+
+def test_carts_of_several_days_count_once_per_pack(spark):
+    """Packs are chosen on some days only, and a cart has other marks on other days."""
+    days = [date(2024, 5, d) for d in (1, 2, 3)]
+    made = [{"dt": days[(i * k + k) % 3], "cart_id": i // 2 if i % 20 else None, "cart_state": ("PLACE_ORDER", "X")[(i + k) % 2],
+             "coupon_flag": i * k % 3 % 2, "item_flag": (i + k) % 5 % 2, "store_id": "1",
+             "customer_segment": "S3", "repeat_flag": "NTR", "slot": "lunch", "cart_bucket": (None, "a", "b")[i // 7 % 3],
+             "cart_value": float(i), "coupon_discount": 1.0} for i in range(120) for k in (1, 2, 3, 4)]
+    packs = [(days[0], "T1", 2), (days[1], "T1", 1), (days[1], "T2", 3), (days[2], "T3", 1)]
+    log = spark.createDataFrame(made, "dt date, cart_id long, cart_state string, coupon_flag int, item_flag int, "
+                                "store_id string, customer_segment string, repeat_flag string, slot string, "
+                                "cart_bucket string, cart_value double, coupon_discount double")
+    chosen = spark.createDataFrame([(d, "1", "S3", "NTR", "lunch", p, c) for d, p, c in packs],
+                                   "dt date, store_id string, customer_segment string, repeat_flag string, "
+                                   "slot string, pack_id string, copies int")
+    want = counted(made, packs)
+    for bucketed in (False, True):
+        got = carts.cart_funnel(log, chosen, bucketed=bucketed).select(
+            "pack_id", "cart_bucket", "cart_count", "order_carts", "coupon_carts", "coupon_order_carts",
+            "item_discount_carts", "item_discount_order_carts", "coupon_cart_value").collect()
+        order = lambda r: (r[0], r[1] or "")
+        assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
