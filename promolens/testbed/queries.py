@@ -57,6 +57,7 @@ from promolens.vocabulary import DEFAULT_VOCABULARY
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+FILES_PER_DATE = 8
 MANAGED_KINDS = ["managed_flag", "discount_label"]
 
 
@@ -408,7 +409,8 @@ def report_cart_funnel_week(f: BoundFrames) -> DataFrame:
 def _stored_mapping(spark: SparkSession, f: BoundFrames) -> DataFrame:
     """The pack mapping written once and read back, as reports share it."""
     path = f"{_scratch(spark)}/mapping"
-    write_pack_mapping(packs.pack_mapping(f.campaign_state, PARAMS.state_from), path=path)
+    mapping = packs.pack_mapping(f.campaign_state, PARAMS.state_from, files_per_date=FILES_PER_DATE)
+    write_pack_mapping(mapping, path=path, files_per_date=FILES_PER_DATE, dealt=True)
     return spark.read.parquet(path)
 
 
@@ -420,9 +422,10 @@ def pack_mapping_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bucketed_mapping(spark: SparkSession, f: BoundFrames) -> DataFrame:
     """The pack mapping as a bucketed table whose files lie in the scratch folder."""
     name = f"pack_mapping_{uuid.uuid4().hex}"
-    write_bucketed_mapping(packs.pack_mapping(f.campaign_state, PARAMS.state_from), name,
-                           int(spark.conf.get("spark.sql.shuffle.partitions")),
-                           f"{_scratch(spark)}/mapping")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed_mapping(
+        packs.pack_mapping(f.campaign_state, PARAMS.state_from, buckets=buckets), name, buckets,
+        f"{_scratch(spark)}/mapping", dealt=True)
     return spark.table(name)
 
 

@@ -16,7 +16,7 @@ from promolens.operators.campaigns import campaign_snapshot, live_stores
 from promolens.operators.cdc import date_spine, latest_per_key
 from promolens.operators.packs import explode_context, pack_identities, pack_mapping
 from promolens.plans.efficiency import efficiency, efficiency_for, slot_metrics, window_runs
-from promolens.sources import Frames, read_frame, write_bucketed_mapping
+from promolens.sources import Frames, read_frame, write_bucketed_mapping, write_pack_mapping
 from promolens.testbed.bindings import PARAMS, BoundFrames
 from tests.builders import frame
 
@@ -88,6 +88,31 @@ def test_the_funnel_reads_the_carts_once(spark, bound, tmp_path):
     assert text.count("Exchange hashpartitioning") < 16
 
 
+@pytest.mark.parametrize("name", ["cart_funnel_full", "report_cart_funnel_full", "report_cart_funnel_stored"])
+def test_carts_are_folded_before_they_meet_the_packs(spark, name):
+    """No shuffle is dealt by pack and cart: a cart does not travel once for each pack."""
+    with without_broadcast(spark):
+        text = plan(queries()[name](spark, SF_DIR))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert any("pack_id#" in keys for keys in dealt)
+    assert not any("pack_id#" in keys and "cart_id#" in keys for keys in dealt)
+
+
+def test_packs_are_dealt_once(spark, bound, tmp_path):
+    """Ranking needs no shuffle of its own, nor does storing a mapping that is dealt for it."""
+    with without_broadcast(spark):
+        for options in ({}, {"files_per_date": 8}, {"buckets": 8}):
+            assert plan(pack_mapping(bound.campaign_state, PARAMS.state_from, **options)).count("Exchange ") == 1
+    with pytest.raises(ValueError):
+        pack_mapping(bound.campaign_state, variants=bound.assignments, buckets=8)
+    plain, dealt = str(tmp_path / "plain"), str(tmp_path / "dealt")
+    write_pack_mapping(pack_mapping(bound.campaign_state), path=plain, files_per_date=2)
+    write_pack_mapping(pack_mapping(bound.campaign_state, files_per_date=2), path=dealt, files_per_date=2, dealt=True)
+    one, other = spark.read.parquet(plain), spark.read.parquet(dealt)
+    assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0 < one.count()
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "dealt").glob("run_date=*")) <= 2
+
+
 @pytest.fixture(scope="module")
 def bucketed(spark, bound):
     write_bucketed_mapping(pack_mapping(bound.campaign_state, PARAMS.state_from),
