@@ -1,35 +1,40 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of tokens, its lower-cased words and one end. A word is
-spelled byte by byte up to an end-of-word symbol, and a symbol bit by bit along
-a prefix code built from the corpus' byte counts; the end of a text is a word
-without bytes. Each bit is predicted in several contexts at once (place in the
-word, the last one, two and three bytes, the whole prefix), each hashed to a
-slot of a table of fixed size that counts zeros and ones over all training
-words. The predictions, stretched to logits, are combined by weights that a
-gate selects (place and how often the prefix was seen) and that are learnt
-online, word after word; an adaptive map of the mixed prediction, counted per
-gate, refines it. The sum over bits is the word's probability, and words'
-probabilities over all byte strings sum to one.
-
-Words of the training texts have their own counts, too: a word's probability is
-``(1 - novel) * count / all`` plus ``novel`` times its spelled probability, with
-the share of new words estimated from the words seen once. The spelling model
-therefore learns from each distinct word once, with its own counts left out.
-
-No context reaches over the word's start, so each distinct word is scored once
-however often it occurs. What moves:
+A text is a sequence of tokens, its lower-cased words and one end. Two models of
+the same kind code it bit by bit.
+
+* ``Sequence`` codes which token follows in the text: along a prefix code of the
+  corpus' tokens each bit is predicted without context, after the last word and
+  after the last two. It counts every token of every training text in its
+  place, and learns its weights online along the training texts.
+* ``Model`` spells a word that training does not know, byte by byte up to an
+  end-of-word symbol, along a prefix code of the corpus' bytes, in contexts
+  within the word (place, the last one, two and three bytes, the whole prefix).
+  A word is new once, so it learns from each distinct training word once, with
+  the word's own counts left out.
+
+In both, contexts are hashed to slots of tables that count zeros and ones; the
+predictions, stretched to logits, are combined by weights that a gate selects
+and that are learnt online, and an adaptive map of the mixed prediction refines
+it. A token's probability is that of its leaf after the words before it, times
+the word's share of the leaf: its counts among the leaf's words, all for the
+most frequent words, which have their own leaves, and the end, and the spelled
+probability for a new word. Probabilities of all words sum to at most one; what
+is missing is the speller's share for words that training knows.
+
+What moves:
 
 * Each task deals its documents into batches of bounded size and writes, per
   batch, the distinct words and, per document, the word numbers.
 * The distinct words of all batches meet once, by word, which gives the exact
-  corpus counts; learning and scoring read that table.
-* Scores return to their batch, where documents add them up.
+  corpus counts; the leaves and the speller are made from that table.
+* Leaves and shares return to their batch, where documents become streams of
+  two bytes a token; counting, learning and scoring read these.
 
-Tables of the model are sums over tasks, of a size fixed by the parameters.
+Tables of the models are sums over tasks, of a size that the parameters bound.
 
 Edge cases: null and empty texts are one end token; without training texts all
-counts are zero and the model predicts from empty tables; repeated rows and
+counts are zero and the models predict from empty tables; repeated rows and
 rows without an id are scored each; an empty table gives an empty result.
 """
 
@@ -48,7 +53,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.llm.columns import whole_text
-from promolens.llm.scratch import table
+from promolens.llm.scratch import owned, release, table
+from promolens.llm.sequence_mixing import (BEFORE, END_OF_TEXT, NEVER, NEW, ONCE, STATE, Sequence,
+                                           part)
 
 END = 256
 CONTEXTS = 5
@@ -57,9 +64,12 @@ PLACES, SEEN, LEVELS = 4, 8, 33
 
 @dataclass(frozen=True)
 class Mixing:
-    """``slots``: bits of a predictor's table; ``batch_bytes``: text per batch; ``learners``:
+    """``slots``: bits of a table of the speller; ``batch_bytes``: text per batch; ``learners``:
     tasks that learn; ``words_at_once`` and ``learn_at_once``: words in one array operation and
-    between two updates of the weights."""
+    between two updates of the speller's weights. Of the sequence, ``frequent``: words with their
+    own leaves; ``classes``: leaves of the others; ``most_slots``: bits of a table, fewer for less
+    than four training tokens a slot; ``tokens_at_once``: between two updates; ``count_tokens``: a
+    counting task's."""
 
     slots: int = 18
     batch_bytes: int = 16_000_000
@@ -67,6 +77,11 @@ class Mixing:
     words_at_once: int = 20_000
     learn_at_once: int = 1_500
     rate: float = 1.0
+    frequent: int = 4096
+    classes: int = 1024
+    most_slots: int = 20
+    tokens_at_once: int = 4096
+    count_tokens: int = 16_000_000
 
 
 def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,10 +162,10 @@ class Model:
             yield word[at], place[at], slots, self.bits[s, depth].astype(np.int64)
 
     def count(self, words: list[bytes]) -> None:
+        flat = self.tables.reshape(-1)
         for _, _, slots, bit in self.decisions(words):
             for k, slot in enumerate(slots):
-                both = np.bincount(slot + bit * self.size, minlength=2 * self.size)
-                self.tables[:, k] += both.reshape(2, -1).astype(np.float32)
+                np.add.at(flat, (bit * CONTEXTS + k) * self.size + slot, np.float32(1))
 
     def inputs(self, place, slots, bit, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions and the gate of each decision; ``left_out`` takes one
@@ -164,12 +179,16 @@ class Model:
         seen = np.minimum(np.log2(zeros + ones + 1), SEEN - 1).astype(np.int64)
         return x, np.minimum(place, PLACES - 1) * SEEN + seen
 
-    def learn(self, words: list[bytes]) -> None:
-        """One online step: per gate, the scaled mean gradient of the coding cost."""
+    def learn(self, words: list[bytes], adapting: bool = False) -> None:
+        """One online step: per gate, the scaled mean gradient of the coding cost; ``adapting``
+        counts what became of the predictions before it."""
         gates = len(self.weights)
         for _, place, slots, bit in self.decisions(words):
             x, gate = self.inputs(place, slots, bit, True)
-            error = bit - squash((x * self.weights[gate]).sum(axis=1))
+            mixed = (x * self.weights[gate]).sum(axis=1)
+            if adapting:
+                self.became(mixed, gate, bit)
+            error = bit - squash(mixed)
             total = np.bincount(gate, minlength=gates) + 1e-9
             for k in range(CONTEXTS):
                 slope = np.bincount(gate, error * x[:, k], gates) / total
@@ -185,9 +204,11 @@ class Model:
         """Count what became of mixed predictions, per gate and level."""
         for _, place, slots, bit in self.decisions(words):
             x, gate = self.inputs(place, slots, bit, True)
-            at = self.level((x * self.weights[gate]).sum(axis=1), gate)
-            n = self.adaptive.shape[1]
-            self.adaptive += np.bincount(at + bit * n, minlength=2 * n).reshape(2, n)
+            self.became((x * self.weights[gate]).sum(axis=1), gate, bit)
+
+    def became(self, mixed: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        n = self.adaptive.shape[1]
+        self.adaptive += np.bincount(self.level(mixed, gate) + bit * n, minlength=2 * n).reshape(2, n)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of each word with its end."""
@@ -203,12 +224,13 @@ class Model:
         return out
 
 
-def with_counts(spelled: np.ndarray, c: np.ndarray, n: int, novel: float) -> np.ndarray:
+def with_counts(spelled: np.ndarray, c: np.ndarray, n: np.ndarray | int, novel: np.ndarray | float) -> np.ndarray:
     """Log10 of ``(1 - novel) * c / n`` plus ``novel`` times the spelled probability, added as
     logarithms: the spelled probability of a long word is far below the smallest number."""
     with np.errstate(divide="ignore"):
         counted = np.log10((1 - novel) * c / n)
-    return np.logaddexp(counted * np.log(10), np.log(novel) + spelled * np.log(10)) / np.log(10)
+        new = np.log(novel)
+    return np.logaddexp(counted * np.log(10), new + spelled * np.log(10)) / np.log(10)
 
 
 def batches_of(docs: DataFrame, key: str, text: str, train: Column, config: Mixing) -> DataFrame:
@@ -264,6 +286,8 @@ def batches_of(docs: DataFrame, key: str, text: str, train: Column, config: Mixi
                     nth, used, held = nth + 1, 0, []
         if held:
             yield from flush(nth, held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # later stages run in the same worker
 
     return docs.select(F.col(key).alias("_id"), whole_text(text).alias("_text"),
                        train.alias("_train")).mapInArrow(split, schema)
@@ -276,8 +300,35 @@ def runs_of(incoming: Iterator[pa.RecordBatch], at_once: int) -> Iterator[list[b
             yield some.column(0).slice(at, at_once).to_pylist()
 
 
+CHUNK = 4096
+
+
+def counted_chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counts as rows, without chunks of zeros; byte planes, as most counts are small."""
+    flat = counts.reshape(-1, CHUNK)
+    some = np.flatnonzero(flat.any(axis=1))
+    for at in range(0, len(some), 64):
+        part = some[at:at + 64]
+        data = [flat[i].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for i in part]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(part, pa.int32()), "n": pa.array(data, pa.binary())})
+
+
+def add_up(parts: DataFrame, into: np.ndarray) -> None:
+    """Sum the rows of ``counted_chunks`` of all tasks into a table of bounded size."""
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CHUNK, np.uint64)
+        for data in group["n"]:
+            total += np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        return pd.DataFrame({"at": group["at"][:1].to_numpy(), "n": [total.astype(np.float32).tobytes()]})
+
+    flat = into.reshape(-1, CHUNK)
+    for r in parts.groupBy("at").applyInPandas(added, "at int, n binary").toLocalIterator():
+        flat[r["at"]] = np.frombuffer(r["n"], np.float32)
+
+
 def trained(vocabulary: DataFrame, config: Mixing) -> Model:
-    """Count, learn and adapt over all training words; each pass sums tables of fixed size."""
+    """The speller: count, learn and adapt over all training words; each pass sums tables of
+    fixed size."""
     spark = vocabulary.sparkSession
     train = vocabulary.filter("first AND c > 0").select("word").coalesce(config.learners)
 
@@ -298,29 +349,14 @@ def trained(vocabulary: DataFrame, config: Mixing) -> Model:
     for r in passes(spell, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
     model = Model(config, counts)
-    chunk = 4096
 
     def count(runs):
         own = Model(config, counts)
         for words in runs:
             own.count(words)
-        flat = own.tables.reshape(-1, chunk)
-        some = np.flatnonzero(flat.any(axis=1))
-        for at in range(0, len(some), 64):
-            part = some[at:at + 64]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(part, pa.int32()),
-                                              "n": pa.array([flat[i].tobytes() for i in part], pa.binary())})
-
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, dtype=np.float64)
-        for data in group["n"]:
-            total += np.frombuffer(data, np.float32)
-        return pd.DataFrame({"at": group["at"][:1].to_numpy(), "n": [total.astype(np.float32).tobytes()]})
+        yield from counted_chunks(own.tables.astype(np.uint32))
 
-    summed = passes(count, "at int, n binary").groupBy("at").applyInPandas(added, "at int, n binary")
-    flat = model.tables.reshape(-1, chunk)
-    for r in summed.toLocalIterator():  # 2 x contexts x slots numbers, fixed by the parameters
-        flat[r["at"]] = np.frombuffer(r["n"], np.float32)
+    add_up(passes(count, "at int, n binary"), model.tables)
     model_of = spark.sparkContext.broadcast(model)
 
     # Each learner has the words of one hash class in a fixed order, so how the table happens to
@@ -335,9 +371,8 @@ def trained(vocabulary: DataFrame, config: Mixing) -> Model:
 
         def result() -> pa.RecordBatch:
             if waiting:
-                own.learn(waiting)
-            return pa.RecordBatch.from_pydict({"learner": pa.array([learner], pa.int32()), "n": pa.array([float(n)]),
-                                               "w": pa.array([own.weights.tobytes()])})
+                own.learn(waiting, adapting=True)
+            return learnt_row(learner, n, own)
 
         for some in incoming:
             number = some.column("learner").to_numpy()
@@ -349,34 +384,115 @@ def trained(vocabulary: DataFrame, config: Mixing) -> Model:
                         yield result()
                     learner, waiting, n = int(number[part[0]]), [], 0
                     own = copy(model_of.value)
-                    own.weights = own.weights.copy()
+                    own.weights, own.adaptive = own.weights.copy(), own.adaptive.copy()
                 waiting += some.column("word").slice(part[0], len(part)).to_pylist()
                 n += len(part)
                 while len(waiting) >= config.learn_at_once:
-                    own.learn(waiting[:config.learn_at_once])
+                    own.learn(waiting[:config.learn_at_once], adapting=True)
                     waiting = waiting[config.learn_at_once:]
         if learner is not None:
             yield result()
 
-    rows = sorted(dealt.mapInArrow(learn, "learner int, n double, w binary").collect())  # one row a learner
+    average(model, dealt.mapInArrow(learn, LEARNT).collect())
+    model_of.destroy()
+    return model
+
+
+LEARNT = "learner int, n double, w binary, a binary"
+
+
+def learnt_row(learner: int, n: int, own: Model | Sequence) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "learner": pa.array([learner], pa.int32()), "n": pa.array([float(n)]),
+        "w": pa.array([own.weights.tobytes()]), "a": pa.array([own.adaptive.tobytes()])})
+
+
+def average(model: Model | Sequence, rows: list) -> None:
+    """Weights by what each learner has read, and the sum of their maps; one row a learner."""
     if rows:
+        rows = sorted(rows)
         shares = np.array([r["n"] for r in rows])
-        each = np.array([np.frombuffer(r["w"]).reshape(model.weights.shape) for r in rows])
-        model.weights = np.tensordot(shares / shares.sum(), each, axes=1)
+        each = np.array([np.frombuffer(r["w"], model.weights.dtype).reshape(model.weights.shape) for r in rows])
+        model.weights = np.tensordot(shares / shares.sum(), each, axes=1).astype(model.weights.dtype)
+        model.adaptive = sum(np.frombuffer(r["a"]) for r in rows).reshape(model.adaptive.shape)
+
+
+def streams_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with the tokens of their texts end to end, and where texts begin."""
+    for some in incoming:
+        column = some.column("stream")
+        tokens = np.frombuffer(b"".join(column.to_pylist()), "<u2")
+        first = np.zeros(len(tokens), bool)
+        length = pc.binary_length(column).to_numpy() // 2
+        first[np.cumsum(length) - length] = True
+        yield some, tokens, first
+
+
+def trained_sequence(streams: DataFrame, model: Sequence, n: int, config: Mixing) -> None:
+    """Count every token of every training text in its place, then learn along the texts."""
+    spark, step = streams.sparkSession, config.tokens_at_once
+    train = streams.filter("train").select("stream")
+
+    def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(model_of.value.shape, np.uint32)
+        flat = counts.reshape(len(counts), -1)
+        for _, tokens, first in streams_of(incoming):
+            for at in range(0, len(tokens), step):
+                model_of.value.count(flat, *part(tokens, first, at, at + step, True))
+        yield from counted_chunks(counts)
+
+    model_of = spark.sparkContext.broadcast(model)
+    tasks = min(config.learners, n // config.count_tokens + 1)
+    tables = np.zeros(model.shape, np.float32)
+    add_up(train.coalesce(tasks).mapInArrow(count, "at int, n binary"), tables)
     model_of.destroy()
+    model.tables = tables
     model_of = spark.sparkContext.broadcast(model)
 
-    def adapt(runs):
-        own = model_of.value
-        own.adaptive = np.zeros_like(own.adaptive)
-        for words in runs:
-            own.adapt(words)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([own.adaptive.tobytes()])})
+    # As for the speller: texts of one hash class a learner, in a fixed order. Equal texts have
+    # equal streams, so their order does not matter.
+    order = F.xxhash64("stream")
+    dealt = (train.select("stream", F.pmod(order, F.lit(config.learners)).cast("int").alias("learner"),
+                          order.alias("place"))
+             .repartition(config.learners, "learner").sortWithinPartitions("learner", "place", "stream"))
+
+    def learn(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, own, learnt, at = None, None, 0, 0
+        tokens, first = np.zeros(0, "<u2"), np.zeros(0, bool)
+
+        def upto(to: int) -> None:
+            nonlocal learnt, at
+            if to > at:
+                own.learn(*part(tokens, first, at, to, True), config.rate)
+                learnt, at = learnt + to - at, to
+
+        def result() -> pa.RecordBatch:
+            upto(len(tokens))
+            return learnt_row(learner, learnt, own)
+
+        for some, new, begins in streams_of(incoming):
+            number = some.column("learner").to_numpy()
+            ends = np.cumsum(pc.binary_length(some.column("stream")).to_numpy() // 2)
+            for rows in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
+                if not len(rows):
+                    continue
+                if number[rows[0]] != learner:
+                    if learner is not None:
+                        yield result()
+                    learner, learnt, at, tokens, first = int(number[rows[0]]), 0, 0, tokens[:0], first[:0]
+                    own = model_of.value.fresh()
+                there = slice(ends[rows[0] - 1] if rows[0] else 0, ends[rows[-1]])
+                keep = max(at - BEFORE, 0)
+                at -= keep
+                tokens = np.concatenate([tokens[keep:], new[there]])
+                first = np.concatenate([first[keep:], begins[there]])
+                while len(tokens) - at >= step:
+                    upto(at + step)
+        if learner is not None:
+            yield result()
 
-    for r in passes(adapt, "n binary").collect():  # one row a learner
-        model.adaptive += np.frombuffer(r["n"]).reshape(model.adaptive.shape)
+    average(model, dealt.mapInArrow(learn, LEARNT).collect())
     model_of.destroy()
-    return model
 
 
 def mixing_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
@@ -384,6 +500,38 @@ def mixing_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str
     """One row per document: id, train, n_bytes, n_tokens, n_known, train_tokens, base_score,
     score (log10), bits_per_byte."""
     spark = docs.sparkSession
+    with owned() as made:
+        streams, model, n = coded_texts(docs, train, key, text, config)
+        release(spark, made, unless=streams)
+    trained_sequence(streams, model, n, config)
+    model_of = spark.sparkContext.broadcast(model)
+    step = config.tokens_at_once
+
+    def scored(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model_of.value.ready()
+        for some, tokens, first in streams_of(incoming):
+            row = np.cumsum(first) - 1
+            score = some.column("spelled").to_numpy().copy()
+            for at in range(0, len(tokens), step):
+                rows = row[at:at + step]
+                found = np.bincount(rows - rows[0], own.log10(*part(tokens, first, at, at + step, False)))
+                score[rows[0]:rows[-1] + 1] += found
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
+
+    kept = ["id", "train", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score"]
+    kind = docs.schema[key].dataType.simpleString()
+    result = streams.mapInArrow(scored, f"id {kind}, train boolean, n_bytes long, n_tokens long, n_known long, "
+                                        "train_tokens long, base_score double, score double")
+    return result.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10))
+                             / F.greatest(F.col("n_bytes"), F.lit(1))).withColumnRenamed("id", key)
+
+
+def coded_texts(docs: DataFrame, train: Column, key: str, text: str,
+                config: Mixing) -> tuple[DataFrame, Sequence, int]:
+    """Documents with their base score, the log10 shares of their words in their leaves (column
+    ``spelled``) and their tokens; a model of the leaves that has not learnt; training tokens."""
+    spark = docs.sparkSession
     both = table(batches_of(docs, key, text, F.coalesce(train, F.lit(False)), config), "batches")
     documents = both.filter("word IS NULL").select("batch", "id", "train", "n_bytes", "n_tokens", "numbers")
     entries = both.filter("word IS NOT NULL").select("batch", "number", "word", "n_train")
@@ -395,55 +543,72 @@ def mixing_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str
     totals = documents.agg(F.sum(F.when(F.col("train"), F.col("n_tokens"))).alias("n"),
                            F.count_if("train").alias("ends")).first()
     n, ends = totals["n"] or 0, totals["ends"]
-    known = words.filter("first AND c > 0").agg(F.count(F.lit(1)).alias("all"),
-                                                F.count_if(F.col("c") == 1).alias("once")).first()
-    distinct = known["all"] + bool(ends)
-    model = trained(words, config)
-    shared = spark.sparkContext.broadcast(model)
-    # Good-Turing: words seen once tell how much of new text is in words never seen.
-    novel = min(max(known["once"] / n, 1e-6), 0.5) if n else 1.0
-
-    def whole(spelled: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return with_counts(spelled, c, n, novel) if n else spelled
-
-    last = float(whole(model.log10([b""]), np.array([float(ends)]))[0])
+
+    # Leaves: the end, new words, frequent words (not long ones, as all tasks hold them), classes.
+    often = (words.filter("first AND c > 1 AND length(word) <= 100").orderBy(F.desc("c"), "word")
+             .limit(config.frequent).select("word").collect())
+    own = spark.createDataFrame([(r["word"], NEW + 1 + i) for i, r in enumerate(often)], "word binary, own int")
+    classes = F.pmod(F.xxhash64("word"), F.lit(config.classes)).cast("int") + NEW + 1 + config.frequent
+    coded = words.join(F.broadcast(own), "word", "left").withColumn("leaf", F.coalesce("own", classes))
+    mass, counts = np.zeros((2, NEW + 1 + config.frequent + config.classes))
+    once = distinct = 0
+    for r in coded.filter("first AND c > 0").groupBy("leaf").agg(
+            F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("all")).collect():
+        mass[r["leaf"]], counts[r["leaf"]] = r["c"], r["c"] - r["once"]
+        once, distinct = once + r["once"], distinct + r["all"]
+    distinct += bool(ends)
+    # What training words met once tell of new ones: without this occurrence they are new.
+    counts[END_OF_TEXT], counts[NEW] = ends, once
+    mass[[END_OF_TEXT, NEW]] = 1
+    slots = min(config.most_slots, max(12, (n // 4).bit_length()))
+    sequence = Sequence(np.flatnonzero(mass), counts, slots, prefix_code)
+
+    shared = spark.sparkContext.broadcast(trained(words, config))
     base = np.log10(n + 0.5 * (distinct + 1))
 
-    def scored(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    def shares(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a word in its leaf; new words, whose spelling alone is read, are spelled."""
+        speller = shared.value
         for some in incoming:
-            column = some.column("word").dictionary_encode()
+            c, leaf = some.column("c").to_numpy(), some.column("leaf").to_numpy()
+            column = some.column("new").dictionary_encode()
             new = column.dictionary.to_pylist()
-            values = np.concatenate([own.log10(new[i:i + config.words_at_once])
-                                     for i in range(0, len(new), config.words_at_once)])
+            spelled = np.zeros(len(c))
+            if new:
+                values = np.concatenate([speller.log10(new[i:i + config.words_at_once])
+                                         for i in range(0, len(new), config.words_at_once)])
+                spelled[c == 0] = values[column.indices.drop_null().to_numpy()]
+            state = np.where(c == 0, NEVER, np.where(c == 1, ONCE, 0))
             yield pa.RecordBatch.from_pydict({
                 "batch": some.column("batch"), "number": some.column("number"), "c": some.column("c"),
-                "p": pa.array(whole(values[column.indices.to_numpy()],
-                                    some.column("c").to_numpy().astype(float)))})
+                "token": pa.array((leaf + (state << STATE)).astype(np.int32)),
+                "p": pa.array(with_counts(spelled, c, np.maximum(mass[leaf], 1), (c == 0).astype(float)))})
+        pa.default_memory_pool().release_unused()
 
-    valued = words.mapInArrow(scored, "batch long, number int, c long, p double")
+    valued = coded.select("batch", "number", "c", "leaf", F.when(F.col("c") == 0, F.col("word")).alias("new")).mapInArrow(
+        shares, "batch long, number int, c long, token int, p double")
     kind = docs.schema[key].dataType.simpleString()
 
-    def summed(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    def joined(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         size = len(values)
-        c, p = np.zeros(size), np.zeros(size)
-        c[values["number"]], p[values["number"]] = values["c"], values["p"]
+        c, p, token = np.zeros(size), np.zeros(size), np.zeros(size, "<u2")
+        c[values["number"]], p[values["number"]], token[values["number"]] = values["c"], values["p"], values["token"]
         unit = np.log10(c + 0.5) - base
         out = []
         for r in rows.itertuples():
             planes = np.frombuffer(r.numbers, np.uint8)
             at = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel() if len(planes) else \
                 np.zeros(0, np.uint32)
-            score = float(p[at].sum()) + last
             out.append((r.id, bool(r.train), r.n_bytes, r.n_tokens, int((c[at] > 0).sum()) + bool(ends), n,
-                        float(unit[at].sum() + np.log10(ends + 0.5) - base), score))
+                        float(unit[at].sum() + np.log10(ends + 0.5) - base), float(p[at].sum()),
+                        np.append(token[at], np.uint16(END_OF_TEXT)).astype("<u2").tobytes()))
         frame = pd.DataFrame(out, columns=["id", "train", "n_bytes", "n_tokens", "n_known",
-                                           "train_tokens", "base_score", "score"])
+                                           "train_tokens", "base_score", "spelled", "stream"])
         frame["id"] = rows["id"].to_numpy()
+        pa.default_memory_pool().release_unused()
         return frame
 
-    result = documents.groupBy("batch").cogroup(valued.groupBy("batch")).applyInPandas(
-        summed, f"id {kind}, train boolean, n_bytes long, n_tokens long, n_known long, "
-                "train_tokens long, base_score double, score double")
-    return result.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10))
-                             / F.greatest(F.col("n_bytes"), F.lit(1))).withColumnRenamed("id", key)
+    streams = documents.groupBy("batch").cogroup(valued.groupBy("batch")).applyInPandas(
+        joined, f"id {kind}, train boolean, n_bytes long, n_tokens long, n_known long, "
+                "train_tokens long, base_score double, spelled double, stream binary")
+    return table(streams, "streams"), sequence, n
