@@ -148,18 +148,17 @@ class Model:
     def decisions(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         """By depth of the code: word, place, slots (context, bit) and bits of all decisions."""
         symbol, word, place, hashes = self.symbols(words)
-        shift = np.uint64(64 - self.config.slots)
+        shift, length, at = np.uint64(64 - self.config.slots), self.length[symbol], np.arange(len(symbol))
+        hashes = [h * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(k) for k, h in enumerate(hashes)]
         for depth in range(self.nodes.shape[1]):
-            at = np.flatnonzero(self.length[symbol] > depth)
+            at = at[length.take(at) > depth]
             if not len(at):
                 return
-            s = symbol[at]
-            node = self.nodes[s, depth].astype(np.uint64) + np.uint64(1)
-            with np.errstate(over="ignore"):
-                slots = [((h[at] * np.uint64(0xD6E8FEB86659FD93) ^ node * np.uint64(0xCA5A826395121157)
-                           ^ np.uint64(k)) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int64)
-                         for k, h in enumerate(hashes)]
-            yield word[at], place[at], slots, self.bits[s, depth].astype(np.int64)
+            s = symbol.take(at)
+            node = (self.nodes[:, depth].astype(np.uint64) + np.uint64(1)) * np.uint64(0xCA5A826395121157)
+            node = node.take(s)
+            slots = [((h.take(at) ^ node) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int64) for h in hashes]
+            yield word.take(at), place.take(at), slots, self.bits[:, depth].take(s).astype(np.int64)
 
     def count(self, words: list[bytes]) -> None:
         flat = self.tables.reshape(-1)
@@ -172,20 +171,27 @@ class Model:
         occurrence of the coded bit out of the counts, as if the word had not been seen."""
         x = np.empty((CONTEXTS, len(bit)), np.float32).T
         for k, slot in enumerate(slots):
-            zeros, ones = self.tables[0, k, slot], self.tables[1, k, slot]
+            zeros, ones = self.tables[0, k].take(slot), self.tables[1, k].take(slot)
             if left_out:
                 zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
             x[:, k] = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
         seen = np.minimum(np.log2(zeros + ones + 1), SEEN - 1).astype(np.int64)
         return x, np.minimum(place, PLACES - 1) * SEEN + seen
 
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        weights = np.ascontiguousarray(self.weights.T)
+        out = x[:, 0] * weights[0].take(gate)
+        for k in range(1, CONTEXTS):
+            out += x[:, k] * weights[k].take(gate)
+        return out
+
     def learn(self, words: list[bytes], adapting: bool = False) -> None:
         """One online step: per gate, the scaled mean gradient of the coding cost; ``adapting``
         counts what became of the predictions before it."""
         gates = len(self.weights)
         for _, place, slots, bit in self.decisions(words):
             x, gate = self.inputs(place, slots, bit, True)
-            mixed = (x * self.weights[gate]).sum(axis=1)
+            mixed = self.mixed(x, gate)
             if adapting:
                 self.became(mixed, gate, bit)
             error = bit - squash(mixed)
@@ -204,7 +210,7 @@ class Model:
         """Count what became of mixed predictions, per gate and level."""
         for _, place, slots, bit in self.decisions(words):
             x, gate = self.inputs(place, slots, bit, True)
-            self.became((x * self.weights[gate]).sum(axis=1), gate, bit)
+            self.became(self.mixed(x, gate), gate, bit)
 
     def became(self, mixed: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
         n = self.adaptive.shape[1]
@@ -215,9 +221,9 @@ class Model:
         out = np.zeros(len(words))
         for word, place, slots, bit in self.decisions(words):
             x, gate = self.inputs(place, slots, bit, False)
-            mixed = (x * self.weights[gate]).sum(axis=1)
+            mixed = self.mixed(x, gate)
             p = squash(mixed)
-            zeros, ones = self.adaptive[:, self.level(mixed, gate)]
+            zeros, ones = self.adaptive.take(self.level(mixed, gate), axis=1)
             refined = (ones + 4 * p) / (zeros + ones + 4)
             one = np.clip((p + refined) / 2, 1e-7, 1 - 1e-7)
             out += np.bincount(word, np.log10(np.where(bit == 1, one, 1 - one)), len(words))
@@ -246,8 +252,10 @@ def batches_of(docs: DataFrame, key: str, text: str, train: Column, config: Mixi
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         parts = lists.flatten()
         there = pc.greater(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())[there]
-        coded = parts.filter(pa.array(there)).dictionary_encode()
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+        if not there.all():
+            doc, parts = doc[there], parts.filter(pa.array(there))
+        coded = parts.dictionary_encode()
         number, size = coded.indices.to_numpy(), len(coded.dictionary)
         seen = np.bincount(number[train.to_numpy(zero_copy_only=False)[doc]], minlength=size)
         tokens = np.bincount(doc, minlength=len(ids))
@@ -504,11 +512,11 @@ def mixing_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str
         streams, model, n = coded_texts(docs, train, key, text, config)
         release(spark, made, unless=streams)
     trained_sequence(streams, model, n, config)
-    model_of = spark.sparkContext.broadcast(model)
+    model_of = spark.sparkContext.broadcast(model.ready())
     step = config.tokens_at_once
 
     def scored(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model_of.value.ready()
+        own = model_of.value
         for some, tokens, first in streams_of(incoming):
             row = np.cumsum(first) - 1
             score = some.column("spelled").to_numpy().copy()
@@ -537,9 +545,9 @@ def coded_texts(docs: DataFrame, train: Column, key: str, text: str,
     entries = both.filter("word IS NOT NULL").select("batch", "number", "word", "n_train")
     # One shuffle by word; a word has one row per batch at most, however often it occurs.
     word = Window.partitionBy("word")
-    words = table(entries.withColumn("c", F.sum("n_train").over(word))
-                  .withColumn("first", F.row_number().over(word.orderBy("batch")) == 1)
-                  .select("word", "c", "first", "batch", "number"), "words")
+    words = table(entries.select("word", F.sum("n_train").over(word).alias("c"),
+                                 (F.col("batch") == F.min("batch").over(word)).alias("first"),
+                                 "batch", "number"), "words")
     totals = documents.agg(F.sum(F.when(F.col("train"), F.col("n_tokens"))).alias("n"),
                            F.count_if("train").alias("ends")).first()
     n, ends = totals["n"] or 0, totals["ends"]

@@ -86,3 +86,54 @@ def test_a_text_read_in_parts_scores_as_in_one(spark):
     found = [{r.doc_id: r.score for r in mixing_scores(docs, F.lit(False), config=Mixing(
         slots=12, learners=2, tokens_at_once=step)).collect()} for step in (3, 5000)]
     assert found[0] == pytest.approx(found[1], rel=1e-6)
+
+
+class _Counted(np.ndarray):
+    """Counts the numbers that are looked up."""
+
+    found = 0
+
+    def take(self, at, *args, **kwargs):
+        _Counted.found += np.size(at)
+        return np.asarray(self).take(at, *args, **kwargs)
+
+    def __getitem__(self, at):
+        _Counted.found += np.size(at)
+        return np.asarray(self)[at]
+
+
+def test_three_bits_share_a_hash_and_score_as_one_by_one():
+    rng = np.random.default_rng(8)
+    tokens, first = _stream(rng, 400)
+    counts = np.bincount(tokens, minlength=14).astype(float) ** 2
+    counts[NEW] = 5
+    model = Sequence(np.flatnonzero(counts), counts, 12, prefix_code)
+    tables = np.zeros(model.shape, np.uint32)
+    leaf, context = part(tokens, first, 0, len(tokens), True)
+    model.count(tables.reshape(BEFORE, -1), leaf, context)
+    model.tables = tables = tables.astype(np.float32)
+    for at in range(0, len(tokens), 100):
+        model.learn(*part(tokens, first, at, at + 100, True), 1.0)
+    key = np.asarray(model.key)
+    model.key = key.view(_Counted)
+    _Counted.found = 0
+    found = model.ready().log10(leaf, context)
+    assert _Counted.found == ((model.length[leaf] + 2) // 3).sum() < model.length[leaf].sum()
+
+    some = rng.integers(0, len(tokens), 60)
+    zeros, ones = model.adaptive
+    for t in some:
+        total = 0.0
+        for depth in range(model.length[leaf[t]]):
+            at = model.start[leaf[t]] + depth
+            x, gate = [model.plain[model.node[at]]], 16 * min(depth // 3, 3)
+            for k in range(BEFORE):
+                line = int(context[k, t] ^ key[at - depth % 3]) * 0xD6E8FEB86659FD93 % 2 ** 64 >> 55
+                x.append(tables[k, 8 * line + model.low[at]])
+                gate += 4 ** k * np.searchsorted([0, 3, 31], x[-1].sum())
+            mixed = sum(w * np.log((b + 0.2) / (a + 0.2)) for w, (a, b) in zip(model.weights[:, gate], x))
+            p = 1 / (1 + np.exp(-mixed))
+            level = 33 * gate + int(np.clip(np.rint(2 * mixed), -16, 16)) + 16
+            one = (p + (ones[level] + 4 * p) / (zeros[level] + ones[level] + 4)) / 2
+            total += np.log10(one if model.bit[at] else 1 - one)
+        assert found[t] == pytest.approx(total, abs=1e-4)
